@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quireflow.llm import tokenizer
+from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# TESTDATA.md: three consecutive tokens, at least 20 tokens, similarity 0.5.
+WIDTH, LEAST_TOKENS, THRESHOLD = 3, 20, 0.5
+P3_FIELDS = (("dataset_info", "article"), ("rulebase_chunkforpdf", "text"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, row_id, group): one row for each text that has a near-duplicate in its table."""
+    both = None
+    for tag, (name, column) in enumerate(P3_FIELDS):
+        part = table(spark, folder, name).select((F.col("row_id") * 2 + tag).alias("id"), F.col(column).alias("text"), F.lit(tag).alias("tag"))
+        both = part if both is None else both.union(part)
+    groups = near_duplicates(both, "id", "text", WIDTH, THRESHOLD, LEAST_TOKENS, within=F.col("tag"))
+    names = F.array(*[F.lit(f"{name}.{column}") for name, column in P3_FIELDS])
+    return groups.select(
+        F.get(names, F.expr("int(id & 1)")).alias("field"),
+        F.expr("shiftright(id, 1)").alias("row_id"),
+        F.expr("shiftright(`group`, 1)").alias("group"),
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = p3_groups(spark, folder)
+    a = groups.select("field", "group", F.col("row_id").alias("row_a"))
+    b = groups.select("field", "group", F.col("row_id").alias("row_b"))
+    return a.join(b, ["field", "group"]).where("row_a < row_b").select("field", "row_a", "row_b")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_ids,)}
+    return {f.__name__: f for f in (p3_groups, p3_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -133,3 +133,16 @@ def distinct_shingles(texts: Sequence[str | None], width: int, least_tokens: int
     out = np.zeros(len(n_tokens) + 1, dtype=np.int64)
     np.cumsum(np.bincount(owner, minlength=len(n_tokens)), out=out[1:])
     return flat, out, n_tokens
+
+
+def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each text's whole token sequence."""
+    counts = np.diff(offsets)
+    size = 1 << max(10, (len(hashes) + 1).bit_length())
+    within = np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)
+    out = []
+    for salt in (0x1234567F, 0x7F4A7C15):
+        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(mix(hashes ^ np.uint64(salt)) * _powers(size, _BASE)[within], out=sums[1:])
+        out.append(mix(sums[offsets[1:]] - sums[offsets[:-1]] + counts.astype(np.uint64) * np.uint64(salt)))
+    return out[0], out[1]
