@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import tokenizer
+from quireflow.llm.cross_split import overlaps
 from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.session import table
 
@@ -41,12 +42,54 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, ["field", "group"]).where("row_a < row_b").select("field", "row_a", "row_b")
 
 
+P6_FIELDS = ("article", "abstract")
+
+
+def _p6(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Overlaps of both fields in one pass; ids are row_id * 2 + the field's place."""
+    papers = table(spark, folder, "dataset_info")
+    held_out = F.when(F.col("split") == "train", False).when(F.col("split").isin("validation", "test"), True)
+    texts = papers.select("row_id", held_out.alias("held_out"), F.posexplode(F.array(*P6_FIELDS)).alias("tag", "text"))
+    texts = texts.select((F.col("row_id") * 2 + F.col("tag")).alias("id"), "text", "held_out", "tag")
+    return overlaps(texts, "id", "text", F.col("held_out"), WIDTH, THRESHOLD, LEAST_TOKENS, within=F.col("tag"))
+
+
+def _field(column: str) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in P6_FIELDS]), F.expr(f"int({column} & 1)"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs, members = _p6(spark, folder)
+    train = members.where("not held_out").select(F.col("id").alias("a"), F.col("least").alias("train"))
+    other = members.where("held_out").select(F.col("id").alias("b"), F.col("least").alias("held_out"))
+    rows = pairs.select("train", "held_out").join(train, "train").join(other, "held_out")
+    a, b = F.expr("shiftright(a, 1)"), F.expr("shiftright(b, 1)")
+    return rows.select(F.least(a, b).alias("row_a"), F.greatest(a, b).alias("row_b"), _field("a").alias("field"))
+
+
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, split, source, n_rows, n_links): held-out rows with an overlap, and pairs of rows, by split and source.
+
+    Copies on the training side are counted, not expanded.
+    """
+    pairs, members = _p6(spark, folder)
+    copies = members.where("not held_out").groupBy(F.col("least").alias("train")).agg(F.count(F.lit(1)).alias("copies"))
+    linked = pairs.join(copies, "train").groupBy(F.col("held_out").alias("least")).agg(F.sum("copies").alias("links"))
+    rows = members.where("held_out").select("id", "least").join(linked, "least").select("id", "links", F.expr("shiftright(id, 1)").alias("row_id"))
+    sources = table(spark, folder, "dataset_info").where(F.col("split") != "train").select("row_id", "split", "source")
+    return (
+        rows.join(sources, "row_id")
+        .groupBy(_field("id").alias("field"), "split", "source")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("links").alias("n_links"))
+    )
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_groups, p3_found, p7_ids)}
+    return {f.__name__: f for f in (p3_groups, p3_found, p6_found, p6_counts, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
