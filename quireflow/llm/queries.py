@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm import tokenizer
 from quireflow.llm.cross_split import overlaps
+from quireflow.llm.leakage import leaks
 from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.session import table
 
@@ -88,8 +89,18 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
 
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of a held-out item in a document, with its place."""
+    items = table(spark, folder, "heldout_examples")
+    return leaks(table(spark, folder, "documents"), items, "doc_id", "text", "item_id", ["text", "target_text"])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_passages(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_groups, p3_found, p6_found, p6_counts, p7_ids)}
+    return {f.__name__: f for f in (p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
