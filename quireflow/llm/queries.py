@@ -11,11 +11,29 @@ from quireflow.llm import tokenizer
 from quireflow.llm.cross_split import overlaps
 from quireflow.llm.leakage import leaks
 from quireflow.llm.near_duplicates import near_duplicates
+from quireflow.llm.splitting import split_texts
 from quireflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# TESTDATA.md: the limit of each field in code points.
+P1_LIMITS = (("dataset_info", "article", 8000), ("rulebase_chunkforpdf", "text", 1200), ("rulebase_chunkforpdf", "section", 120))
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every article, chunk text and section title."""
+    out = None
+    for name, column, limit in P1_LIMITS:
+        part = split_texts(table(spark, folder, name), "row_id", column, limit).select(F.lit(f"{name}.{column}").alias("field"), "*")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_pieces(spark, folder).where("n_pieces > 1 and piece = 0").select("field", "row_id")
+
+
 # TESTDATA.md: three consecutive tokens, at least 20 tokens, similarity 0.5.
 WIDTH, LEAST_TOKENS, THRESHOLD = 3, 20, 0.5
 P3_FIELDS = (("dataset_info", "article"), ("rulebase_chunkforpdf", "text"))
@@ -100,8 +118,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
+
+
+P1_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM {t} WHERE length({c}) > {n}" for t, c, n in P1_LIMITS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL}
