@@ -132,13 +132,18 @@ def overlaps(
     entries = least.select("held_out", "least", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select("held_out", "least", "n", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("at"))
     index = entries.where("held_out").select("shingle", F.col("least").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
     probe = entries.where("not held_out").select("shingle", F.col("least").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
+    # a shared prefix shingle leaves room for at most the rest of either set
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # past the prefix of the set whose prefix ends first, only the rest of that set can be shared
+    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(n) - F.lit(1e-9)) - 1 for n in ("n_a", "n_b")])
     pairs = (
         probe.join(index, "shingle")
         .where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9))
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(room).alias("room"))
+        .where((F.col("room") >= need) & (F.col("shared") + rest >= need))
         .select("a", "b")
-        .distinct()
     )
     links = verified(checkpointed(pairs), texts, width, least_tokens, threshold)
     return links.select(F.col("a").alias("train"), F.col("b").alias("held_out"), "similarity"), members
