@@ -11,6 +11,7 @@ from quireflow.llm import tokenizer
 from quireflow.llm.cross_split import overlaps
 from quireflow.llm.leakage import leaks
 from quireflow.llm.near_duplicates import near_duplicates
+from quireflow.llm.sentences import sentence_rows
 from quireflow.llm.splitting import split_texts
 from quireflow.session import table
 
@@ -34,6 +35,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("n_pieces > 1 and piece = 0").select("field", "row_id")
 
 
+def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every article and chunk text, with its place."""
+    out = None
+    for name, column in P3_FIELDS:
+        part = sentence_rows(table(spark, folder, name), "row_id", column).select(F.lit(f"{name}.{column}").alias("field"), "*")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "dataset_info").where(F.col("split") == "validation")
+    out = None
+    for rows, name, column in ((papers, "dataset_info", "article"), (table(spark, folder, "rulebase_chunkforpdf"), "rulebase_chunkforpdf", "text")):
+        part = sentence_rows(rows, "row_id", column).select(F.lit(f"{name}.{column}").alias("field"), "row_id", "end_pos")
+        out = part if out is None else out.union(part)
+    return out
+
+
 # TESTDATA.md: three consecutive tokens, at least 20 tokens, similarity 0.5.
 WIDTH, LEAST_TOKENS, THRESHOLD = 3, 20, 0.5
 P3_FIELDS = (("dataset_info", "article"), ("rulebase_chunkforpdf", "text"))
@@ -118,7 +137,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
 
 
 P1_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM {t} WHERE length({c}) > {n}" for t, c, n in P1_LIMITS)
