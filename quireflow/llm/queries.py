@@ -12,6 +12,7 @@ from quireflow.llm.cross_split import overlaps
 from quireflow.llm.leakage import leaks
 from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.llm.sentences import sentence_rows
+from quireflow.llm.spam import spam_pages, train
 from quireflow.llm.splitting import split_texts
 from quireflow.session import table
 
@@ -136,8 +137,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
+def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Spam pages with the share of abnormal words and of spam words."""
+    prose = table(spark, folder, "dataset_info").select(F.col("abstract").alias("text")).where("abstract is not null")
+    return spam_pages(table(spark, folder, "documents"), "doc_id", "text", train(prose))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_pages(spark, folder).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found, p9_pages, p9_found)}
 
 
 P1_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM {t} WHERE length({c}) > {n}" for t, c, n in P1_LIMITS)

@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DOT, _END, _GREEK = "", "", ""  # a masked end, the mark after a unit, a Greek question mark
-_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85  "
+_DOT, _END, _GREEK = "\ue000", "\ue0ff", "\ue010"  # a masked end, the mark after a unit, a Greek question mark
+_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # Ends of sentences that always end one, and those of scripts written without spaces.
 _SURE = "؟۔।॥።፧፨។៕။"
 _WIDE = "。！？｡．"
@@ -31,7 +31,7 @@ _BEFORE_NUMBER = "Fig Figs fig figs Eq Eqs eq Sec Secs sec Tab Tabs Tbl No Nos n
 # German months, after which an ordinal's stop is no end.
 _MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 # Scripts without end marks: Thai and Lao.
-_BARE = "฀-໿"
+_BARE = "\u0e00-\u0eff"
 
 
 def _let(column: Column, then: Callable[[Column], Column]) -> Column:
