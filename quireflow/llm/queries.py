@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quireflow.llm import tokenizer
 from quireflow.llm.cross_split import overlaps
 from quireflow.llm.leakage import leaks
+from quireflow.llm.markup import clean_texts
 from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.llm.sentences import sentence_rows
 from quireflow.llm.spam import spam_pages, train
@@ -81,6 +82,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, ["field", "group"]).where("row_a < row_b").select("field", "row_a", "row_b")
 
 
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, field, kinds, clean) of every article and abstract."""
+    papers = table(spark, folder, "dataset_info")
+    texts = papers.select(F.posexplode(F.array(*P6_FIELDS)).alias("tag", "text"), "row_id")
+    done = clean_texts(texts.select((F.col("row_id") * 2 + F.col("tag")).alias("id"), "text"), "id", "text")
+    return done.select(F.expr("shiftright(id, 1)").alias("row_id"), _field("id").alias("field"), "kinds", "clean")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_clean(spark, folder).select("row_id", "field", F.explode("kinds").alias("kind"))
+
+
 P6_FIELDS = ("article", "abstract")
 
 
@@ -148,7 +161,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found, p9_pages, p9_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p5_clean, p5_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found, p9_pages, p9_found)}
 
 
 P1_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM {t} WHERE length({c}) > {n}" for t, c, n in P1_LIMITS)
