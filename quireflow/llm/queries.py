@@ -12,6 +12,7 @@ from quireflow.llm.cross_split import overlaps
 from quireflow.llm.leakage import leaks
 from quireflow.llm.markup import clean_texts
 from quireflow.llm.near_duplicates import near_duplicates
+from quireflow.llm.neighbours import nearest
 from quireflow.llm.sentences import sentence_rows
 from quireflow.llm.spam import spam_pages, train
 from quireflow.llm.splitting import split_texts
@@ -82,6 +83,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, ["field", "group"]).where("row_a < row_b").select("field", "row_a", "row_b")
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar vectors of every usable vector, with cosine and rank."""
+    found = nearest(table(spark, folder, "databuildt"), "vec_id", "embeddings", 96)
+    return found.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p4_neighbours(spark, folder)
+    a, b = F.least("vec_id", "neighbour_id"), F.greatest("vec_id", "neighbour_id")
+    return pairs.select(a.alias("vec_a"), b.alias("vec_b")).distinct()
+
+
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, field, kinds, clean) of every article and abstract."""
     papers = table(spark, folder, "dataset_info")
@@ -161,7 +174,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p5_clean, p5_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found, p9_pages, p9_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_sentences, p2_found, p3_groups, p3_found, p4_neighbours, p4_found, p5_clean, p5_found, p6_found, p6_counts, p7_ids, p8_passages, p8_found, p9_pages, p9_found)}
 
 
 P1_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM {t} WHERE length({c}) > {n}" for t, c, n in P1_LIMITS)
