@@ -1,17 +1,476 @@
-"""Queries of the library's own operators, by name, and their SQL."""
+"""Queries of the library's own operators over the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quireflow.config import QUERY_TEMPLATES, NoiseConfig, PromptConfig
+from quireflow.functions import text as T
+from quireflow.functions import vectors as V
+from quireflow.operators import chunking as C
+from quireflow.operators import metrics as M
+from quireflow.operators import noise as N
+from quireflow.operators import prompts as P
+from quireflow.operators import retrieval as R
+from quireflow.plans import pipeline as plan
+from quireflow.session import checkpointed, table
+from quireflow.sources.readers import cleaned_papers
 
 Query = Callable[[SparkSession, str], DataFrame]
+SIZE = 96
+
+
+def _papers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "dataset_info")
+
+
+def _valid(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaned_papers(_papers(spark, folder).select("row_id", "paper_id", "split", "article", "abstract"))
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, pos, line) of every article line that isn't blank, normalised."""
+    rows = _papers(spark, folder).select("row_id", F.posexplode(T.lines(T.clean_field(F.col("article")))).alias("pos", "line"))
+    return rows.withColumn("line", T.normalize_space(F.col("line"))).where("line <> ''")
+
+
+# --- text
+
+
+def clean_field(spark: SparkSession, folder: str) -> DataFrame:
+    return _papers(spark, folder).select("row_id", T.clean_field(F.col("article")).alias("article"), T.clean_field(F.col("abstract")).alias("abstract"))
+
+
+def valid_papers(spark: SparkSession, folder: str) -> DataFrame:
+    return _valid(spark, folder).select("row_id", "split")
+
+
+def normalize_space(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("text"))
+
+
+def safe_strip(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "retrieval_tokenizer").select("id", T.safe_strip(F.col("text")).alias("text"))
+
+
+def word_count(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    return _papers(spark, folder).select("row_id", F.coalesce(T.token_estimate_exceeds(F.col("article"), PromptConfig.max_input_length), F.lit(False)).alias("truncated"))
+
+
+def line_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(spark, folder)
+
+
+def heading_flag(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(spark, folder).select("row_id", "pos", T.looks_like_heading(F.col("line")).alias("is_heading"))
+
+
+def heading_title(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(spark, folder).where(T.looks_like_heading(F.col("line"))).select("row_id", "pos", T.clean_heading(F.col("line")).alias("title"))
+
+
+def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rulebase_chunkforpdf").select("row_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return rows
+
+
+def choose_query(spark: SparkSession, folder: str) -> DataFrame:
+    return _papers(spark, folder).select("row_id", "paper_id", T.choose_query(F.col("paper_id")).alias("query"))
+
+
+def chunk_gid(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "rulebase_chunkforpdf").select("row_id", T.chunk_gid(F.col("source_doc_id"), F.col("chunk_id")).alias("gid"))
+
+
+def id_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return _papers(spark, folder).select("row_id", T.id_suffix(F.col("paper_id")).alias("suffix"))
+
+
+def section_header_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "rulebase_chunkforpdf").select("row_id", T.with_section_header(F.col("section"), F.col("text")).alias("text"))
+
+
+# --- sections and chunks
+
+
+def sections(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _valid(spark, folder).select("row_id", F.explode(C.sections(F.col("article"))).alias("s"))
+    return rows.select("row_id", "s.section_index", "s.section", "s.content", "s.n_words")
+
+
+def section_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers without a section long enough, whose whole text is one."""
+    rows = _valid(spark, folder).where(F.size(C.sections(F.col("article"))) == 0)
+    return rows.select("row_id", F.explode(C.sections_or_body(F.col("article"))).alias("s")).select("row_id", "s.section", "s.content")
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return C.chunk_documents(_valid(spark, folder).select("row_id", "article"), "row_id")
+
+
+def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each section's windows: their sum less the section's words is what overlaps."""
+    made = chunks(spark, folder)
+    return made.groupBy("row_id", "section_index").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))
+
+
+def document_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return C.process_documents(_valid(spark, folder), "row_id").select("row_id", "num_sections", "num_chunks")
+
+
+def min_chunks_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return C.with_min_chunks(chunks(spark, folder).select("row_id", "chunk_id"), "row_id").select("row_id", "chunk_id", "num_chunks")
+
+
+def paper_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers numbered within their split in row order."""
+    rows = C.numbered(_valid(spark, folder).select("row_id", "split"), "split", "row_id", "idx")
+    return rows.select("row_id", F.concat_ws("_", "split", F.col("idx").cast("string")).alias("made_id"))
+
+
+def make_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks as documents: id and text, blank texts dropped."""
+    rows = table(spark, folder, "rulebase_chunkforpdf").where(T.safe_strip(F.col("text")) != "")
+    return rows.select("row_id", T.chunk_gid(F.col("source_doc_id"), F.col("chunk_id")).alias("id"), "text")
+
+
+def rejected_papers(spark: SparkSession, folder: str) -> DataFrame:
+    return C.rejected_papers(_papers(spark, folder), "row_id").select("row_id", "stage", "reason")
+
+
+# --- vectors
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(vec_id, paper_id, split, chunk_gid, vec): unit vectors, the first of each chunk."""
+    rows = table(spark, folder, "databuildt").where(V.usable(F.col("embeddings"), SIZE))
+    first = rows.groupBy("chunk_gid").agg(F.min_by(F.struct("vec_id", "paper_id", "split", "embeddings"), "vec_id").alias("r"))
+    return first.select("r.vec_id", "r.paper_id", "r.split", "chunk_gid", V.unit_vectors(SIZE)(F.col("r.embeddings")).alias("vec"))
+
+
+def _templates(spark: SparkSession, folder: str) -> DataFrame:
+    """(query, text, qvec): the first vectors stand for the encoded templates."""
+    return _template_rows(_vectors(spark, folder))
+
+
+def _template_rows(vectors: DataFrame) -> DataFrame:
+    first = vectors.orderBy("vec_id").limit(len(QUERY_TEMPLATES))
+    places = first.select(F.explode(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "vec"))), lambda x, i: F.struct(i.alias("query"), x["vec"].alias("qvec")))).alias("t"))
+    return places.select("t.query", F.get(F.array(*[F.lit(t) for t in QUERY_TEMPLATES]), F.col("t.query")).alias("text"), "t.qvec")
+
+
+def _corpus(spark: SparkSession, folder: str) -> plan.Corpus:
+    vectors = checkpointed(_vectors(spark, folder))
+    chunk = vectors.select("paper_id", "split", T.id_suffix(F.col("paper_id")).alias("idx"), "chunk_gid", "vec")
+    texts = table(spark, folder, "retrieval_tokenizer").groupBy(F.col("id").alias("chunk_gid")).agg(F.min("metadata.section").alias("section"), F.min("text").alias("text"))
+    targets = _valid(spark, folder).groupBy("paper_id").agg(F.min_by("abstract", "row_id").alias("abstract"))
+    return plan.Corpus(chunk, texts, targets, checkpointed(_template_rows(vectors)))
+
+
+def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "databuildt").where(V.usable(F.col("embeddings"), SIZE))
+    return rows.select("vec_id", F.posexplode(V.l2_normalize(V.doubles(F.col("embeddings")))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+
+
+def all_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's score against every template."""
+    pairs = _vectors(spark, folder).select("vec_id", "vec").crossJoin(F.broadcast(_templates(spark, folder).select("query", "qvec")))
+    return pairs.select("vec_id", "query", F.round(V.dot_products(SIZE)(F.col("vec"), F.col("qvec")), 6).alias("score"))
+
+
+def masked_mean_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Each label's mean of vectors with an even vec_id, the others being masked."""
+    rows = table(spark, folder, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", V.doubles(F.col("embedding")).alias("v")))).alias("t"))
+    mask = F.transform("t", lambda x: F.when(x["vec_id"] % 2 == 0, 1.0).otherwise(0.0))
+    pooled = rows.select("label", V.masked_mean(F.col("t.v"), mask).alias("m"))
+    return pooled.select("label", F.posexplode("m").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+
+
+def hashing_encode(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "heldout_examples").select("item_id", F.posexplode(V.hashing_vector(F.col("target_text"))).alias("pos", "x"))
+    return rows.select("item_id", "pos", F.round("x", 6).alias("x"))
+
+
+# --- retrieval
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with their paper's query vector."""
+    rows = _vectors(spark, folder).withColumn("query", T.query_index(F.col("paper_id")))
+    return rows.join(F.broadcast(_templates(spark, folder).select("query", "qvec")), "query")
+
+
+def candidate_k_rule(spark: SparkSession, folder: str) -> DataFrame:
+    counts = _vectors(spark, folder).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.withColumn("k", R.effective_k(F.col("n")))
+    return kept.withColumn("candidates", R.candidate_k(F.col("n"), F.col("k")))
+
+
+def _candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return R.ranked(R.scored(_asked(spark, folder), "qvec", SIZE), "paper_id", 5)
+
+
+def topk_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return _candidates(spark, folder).select("paper_id", "chunk_gid", "rank", F.round("score", 6).alias("score"))
+
+
+def pairwise_sim(spark: SparkSession, folder: str) -> DataFrame:
+    return R.pairwise(_candidates(spark, folder), "paper_id", SIZE).withColumn("similarity", F.round("similarity", 6))
+
+
+def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
+    """What is retrieved for each paper by its own query."""
+    return R.clean_retrieval(_asked(spark, folder), "qvec").withColumn("score", F.round("score", 6))
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return _templates(spark, folder).select(F.col("query").alias("query_id"), "qvec")
+
+
+def mmr_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Three picks for each template over all chunks."""
+    return R.search(_questions(spark, folder), _vectors(spark, folder), 3, SIZE).withColumn("score", F.round("score", 6))
+
+
+def negatives_random(spark: SparkSession, folder: str) -> DataFrame:
+    found = R.search(_questions(spark, folder), _vectors(spark, folder), 3, SIZE).select("query_id", "chunk_gid")
+    return R.random_negatives(_questions(spark, folder), _vectors(spark, folder), found, 2, 42)
+
+
+def _best_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _vectors(spark, folder).select("chunk_gid", "vec").crossJoin(F.broadcast(_questions(spark, folder)))
+    return R.ranked(R.scored(pairs, "qvec", SIZE), "query_id", 50)
+
+
+def negatives_hard(spark: SparkSession, folder: str) -> DataFrame:
+    found = R.search(_questions(spark, folder), _vectors(spark, folder), 3, SIZE).select("query_id", "chunk_gid")
+    return R.hard_negatives(_best_chunks(spark, folder), found, 2, 42, skip=3)
+
+
+def training_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    found = R.search(_questions(spark, folder), _vectors(spark, folder), 3, SIZE)
+    hard = R.hard_negatives(_best_chunks(spark, folder), found.select("query_id", "chunk_gid"), 2, 42, skip=3)
+    return R.training_contexts(found, hard)
+
+
+# --- noise
+
+
+def noise_pool(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.pool_of(_corpus(spark, folder)).select("paper_id", "chunk_gid")
+
+
+def _scopes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    corpus = _corpus(spark, folder)
+    sims = checkpointed(plan.similarities(plan.pool_of(corpus), corpus.templates, SIZE))
+    used = plan.papers(plan.documents(corpus), corpus.chunks, plan.Settings(), 1)
+    return N.scoped(sims, used.select("paper_id", "query"))
+
+
+def noise_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    found = N.percentiles(_scopes(spark, folder)[0])
+    return found.select("scope", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p90")], "n")
+
+
+def noise_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """How many candidates each scope has in the bands."""
+    candidates = _scopes(spark, folder)[0]
+    out = None
+    for mode in ("cross_doc_easy", "cross_doc_hard"):
+        part = N.banded(candidates, mode).groupBy("scope").agg(F.count_if("in_band").alias("inside")).select("scope", F.lit(mode).alias("mode"), "inside")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def noise_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates and source if a thousand draws are asked, which no band has."""
+    rows = N.with_fallback(N.banded(_scopes(spark, folder)[0], "cross_doc_hard"), "cross_doc_hard", 100_000)
+    return rows.groupBy("scope", "noise_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _draws(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    candidates, scopes = _scopes(spark, folder)
+    return N.sampled(N.with_fallback(N.banded(candidates, mode), mode, 2), scopes, mode, 2, 42)
+
+
+def noise_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _draws(spark, folder, "cross_doc_easy")
+
+
+def noise_random(spark: SparkSession, folder: str) -> DataFrame:
+    return _draws(spark, folder, "cross_document")
+
+
+def noisy_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = _corpus(spark, folder)
+    docs = plan.documents(corpus)
+    used = plan.papers(docs, corpus.chunks, plan.Settings(), 1)
+    picks = plan.clean_picks(docs, used, corpus, plan.Settings().retrieval)
+    return N.noisy_contexts(picks, _draws(spark, folder, "cross_doc_hard"), "cross_doc_hard", NoiseConfig())
+
+
+# --- prompts
+
+
+def _by_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's chunks in order as contexts."""
+    rows = table(spark, folder, "rulebase_chunkforpdf").where("source_doc_id is not null")
+    return rows.groupBy("source_doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "row_id", "section", "text"))).alias("c"))
+
+
+def _joined(contexts: Column) -> Column:
+    return F.array_join(contexts, " || ")
+
+
+def format_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_document(spark, folder).select("source_doc_id", _joined(P.format_contexts(F.col("c.text"), most=3)).alias("contexts"))
+
+
+def format_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_document(spark, folder).select("source_doc_id", _joined(P.format_items(F.col("c"), most=3, headers=True)).alias("contexts"))
+
+
+def truncate_context(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", P.WhitespaceTokenizer().truncate(F.col("text"), 20).alias("text"))
+
+
+def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of a document's contexts fit the budget."""
+    made = _by_document(spark, folder).select("source_doc_id", P.format_contexts(F.col("c.text")).alias("f"))
+    return made.select("source_doc_id", F.size("f").alias("n"), F.size(P.fit_to_budget(F.col("f"))).alias("kept"))
+
+
+def build_input_plain(spark: SparkSession, folder: str) -> DataFrame:
+    return _papers(spark, folder).select("row_id", P.plain_input(F.col("abstract")).alias("input_text"))
+
+
+def build_input_rag(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _by_document(spark, folder)
+    return rows.select("source_doc_id", P.rag_input(T.choose_query(F.col("source_doc_id")), P.format_contexts(F.col("c.text"), most=6)).alias("input_text"))
+
+
+# --- examples
+
+_EXAMPLE = ("input_text", "target_text", "paper_id", "split", "sample_type", "num_contexts", "noise_mode", "noise_source", "num_chunks", "num_documents", "n_noise_used")
+
+
+def training_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.build_split(_corpus(spark, folder), "train", ("cross_doc_easy",)).select(*_EXAMPLE)
+
+
+def validation_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.build_split(_corpus(spark, folder), "validation", ()).select(*_EXAMPLE)
+
+
+def test_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.build_split(_corpus(spark, folder), "test", ("cross_doc_easy", "cross_doc_hard")).select(*_EXAMPLE)
+
+
+def sample_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.sample_type_counts(training_examples(spark, folder))
+
+
+def pair_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.pair_rates(training_examples(spark, folder)).withColumn("rate", F.round("rate", 4))
+
+
+def required_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows written as JSON whose target is missing, as null fields are left out."""
+    from quireflow.sources.readers import missing_fields
+
+    rows = table(spark, folder, "retrieval_tokenizer").select(F.to_json(F.struct(F.col("id").alias("input_text"), F.col("text").alias("target_text"))).alias("value"), "id")
+    return missing_fields(rows).select("id", "missing")
+
+
+# --- metrics
+
+
+def _scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions are the first 60 words of the article, references the abstract."""
+    return _valid(spark, folder).select("row_id", "split", P.WhitespaceTokenizer().truncate(F.col("article"), 60).alias("prediction"), F.col("abstract").alias("reference"))
+
+
+def _rouge(n: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return M.rouge_n(_scored_pairs(spark, folder), "row_id", n).withColumn("score", F.round("score", 6))
+
+    return run
+
+
+def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
+    return M.rouge_l(_scored_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
+
+
+def rouge_lsum(spark: SparkSession, folder: str) -> DataFrame:
+    return M.rouge_lsum(_scored_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
+
+
+def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    return M.rouge_n(_scored_pairs(spark, folder), "row_id", 1, prepare=M.stemmed_tokens).withColumn("score", F.round("score", 6))
+
+
+def metrics_summary(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _scored_pairs(spark, folder)
+    scores = [M.rouge_n(pairs, "row_id", n).withColumnRenamed("score", f"rouge{n}") for n in (1, 2)]
+    joined = pairs.select("row_id", F.col("split").alias("eval_set")).join(scores[0], "row_id").join(scores[1], "row_id")
+    return M.metrics_summary(joined, ["rouge1", "rouge2"])
+
+
+def _ids() -> Column:
+    """Word lengths stand for ids; 0 pads and -100 masks every fifth."""
+    return F.transform(F.split(T.normalize_space(F.col("target_text")), " "), lambda w, i: F.when(i % 5 == 4, F.lit(-100)).otherwise(F.length(w)))
+
+
+def label_unmask(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "heldout_examples").select("item_id", F.posexplode(M.unmasked(_ids(), 0)).alias("pos", "label"))
+    return rows
+
+
+def gen_len(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "heldout_examples").select("split", M.generated_length(M.unmasked(_ids(), 0), 0).alias("n"))
+    return rows.groupBy("split").agg(M.rounded(F.avg("n")).alias("gen_len"))
+
+
+def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "heldout_examples").select("item_id", "source", _ids().alias("labels"))
+    done = P.padded_batches(rows, "source", {"labels": -100})
+    return done.select("item_id", F.size("labels").alias("padded"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"))
+
+
+_QUERIES: tuple[Query, ...] = (
+    clean_field, valid_papers, normalize_space, safe_strip, word_count, token_estimate, line_split, heading_flag, heading_title, sentence_split,
+    choose_query, chunk_gid, id_suffix, section_header_prefix, sections, section_fallback, chunks, chunk_overlap, document_counts, min_chunks_filter,
+    paper_ids, make_documents, rejected_papers, l2_normalize, all_scores, masked_mean_pool, hashing_encode, candidate_k_rule, topk_candidates,
+    pairwise_sim, mmr_select, mmr_search, negatives_random, negatives_hard, training_contexts, noise_pool, noise_percentiles, noise_bands,
+    noise_fallback, noise_sample, noise_random, noisy_contexts, format_contexts, format_items, truncate_context, budget_prefix, build_input_plain,
+    build_input_rag, training_examples, validation_examples, test_examples, sample_type_counts, pair_rates, required_fields, rouge_l, rouge_lsum,
+    rouge_stemmed, metrics_summary, label_unmask, gen_len, padded_batches,
+)
+
+
+def _wide(query: Query) -> Query:
+    """The query with 32-bit integers as 64-bit ones, so that types agree with the SQL."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        df = query(spark, folder)
+        return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if kind == "int" else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    named = {q.__name__: q for q in _QUERIES} | {"rouge1": _rouge(1), "rouge2": _rouge(2)}
+    return {name: _wide(q) for name, q in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quireflow.oracle import sql
+
+    return sql()
