@@ -89,7 +89,7 @@ def mmr_rows(candidates: DataFrame, key: str | list[str], size: int, weight: flo
     wanted = F.lit(k).cast("int") if isinstance(k, int) else F.first(k).cast("int")
     lists = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_gid", "score", "vec"))).alias("c"), wanted.alias("k"))
     picks = lists.withColumn("at", mmr_positions(weight, size)(F.col("c.score"), F.col("c.vec"), F.col("k")))
-    rows = picks.select(*keys, "c", F.posexplode("at").alias("pos", "i")).withColumn("p", F.get("c", F.col("i")))
+    rows = picks.select(*keys, "c", F.posexplode_outer("at").alias("pos", "i")).withColumn("p", F.get("c", F.col("i")))
     return rows.select(*keys, "p.chunk_gid", "p.score", (F.col("pos") + 1).alias("rank"))
 
 

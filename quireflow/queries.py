@@ -156,13 +156,13 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession, folder: str) -> DataFrame:
-    """(query, text, qvec): the first vectors stand for the encoded templates."""
+    """(query, text, qvec): the first vectors, reversed, stand for the encoded templates."""
     return _template_rows(_vectors(spark, folder))
 
 
 def _template_rows(vectors: DataFrame) -> DataFrame:
     first = vectors.orderBy("vec_id").limit(len(QUERY_TEMPLATES))
-    places = first.select(F.explode(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "vec"))), lambda x, i: F.struct(i.alias("query"), x["vec"].alias("qvec")))).alias("t"))
+    places = first.select(F.explode(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "vec"))), lambda x, i: F.struct(i.alias("query"), F.reverse(x["vec"]).alias("qvec")))).alias("t"))
     return places.select("t.query", F.get(F.array(*[F.lit(t) for t in QUERY_TEMPLATES]), F.col("t.query")).alias("text"), "t.qvec")
 
 
