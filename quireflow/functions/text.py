@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quireflow.config import QUERY_TEMPLATES, ChunkConfig
 
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 NUMBERED = r"^((\p{Nd}+(\.\p{Nd}+){0,3})|([IVXLCDM]+))[\.\)\:]?\s+([A-Za-z].+)$"
 # Titles that are headings by themselves.
@@ -29,7 +30,7 @@ def let(column: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def safe_strip(text: Column) -> Column:
@@ -50,7 +51,8 @@ def clean_list(items: Column, join_with: str = "\n") -> Column:
 
 def normalize_space(text: Column) -> Column:
     """White space runs as one space, none at the ends; empty for null."""
-    return F.coalesce(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
+    plain = F.translate(text, _SPACES, " " * len(_SPACES))  # far cheaper than a regular expression over all spaces
+    return F.coalesce(F.trim(F.regexp_replace(plain, "  +", " ")), F.lit(""))
 
 
 def words_of(normalized: Column) -> Column:

@@ -1,6 +1,6 @@
 """Sections and sentence-window chunks of documents.
 
-Everything happens within the row: a document becomes an array of sections and
+As expressions everything happens within the row: a document becomes an array of sections and
 each section an array of chunks, so no line or sentence is ever shuffled.  The
 window is folded over indices and running word counts; texts are only joined at
 the end.
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quireflow.config import ChunkConfig
 from quireflow.functions import text as T
+from quireflow.operators import chunk_rows
 
-BODY = "Body"
+BODY = chunk_rows.BODY
 
 
 def sections(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
@@ -108,18 +109,15 @@ def chunk_documents(papers: DataFrame, id_column: str = "paper_id", text_column:
     """One row for each chunk: the id, chunk_id, section, text, word_count, section_index, chunk_index_in_section.
 
     Other columns of `papers` are kept.  Blank and null texts have no chunks.
+    Batches are cut by the rules in quireflow.operators.chunk_rows.
     """
-    made = papers.where(T.safe_strip(F.col(text_column)) != "").withColumn("__chunks", chunk_array(F.col(text_column), config))
-    kept = [c for c in papers.columns if c != text_column]
-    clash = {"chunk_id", "section", "text", "word_count", "section_index", "chunk_index_in_section"} & set(kept)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    rows = made.select(*kept, F.posexplode("__chunks").alias("chunk_id", "__c"))
-    return rows.select(*kept, "chunk_id", "__c.section", "__c.text", "__c.word_count", "__c.section_index", "__c.chunk_index_in_section")
+    if id_column not in papers.columns:
+        raise ValueError(f"no column {id_column}")
+    return chunk_rows.chunk_documents(papers, text_column, config)
 
 
 def process_documents(papers: DataFrame, id_column: str = "paper_id", text_column: str = "article", config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(id, num_sections, num_chunks, sections, chunks) of each document with text."""
+    """(id, num_sections, num_chunks, sections, chunks) of each document with text, as expressions."""
     rows = papers.where(T.safe_strip(F.col(text_column)) != "").select(F.col(id_column), F.col(text_column).alias("__t"))
     done = rows.select(id_column, sections_or_body(F.col("__t"), config).alias("sections"), chunk_array(F.col("__t"), config).alias("chunks"))
     return done.select(id_column, F.size("sections").alias("num_sections"), F.size("chunks").alias("num_chunks"), "sections", "chunks")

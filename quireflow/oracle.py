@@ -286,4 +286,4 @@ def sql() -> dict[str, str]:
         "gen_len": f"SELECT split, round(avg(len(list_filter({_LABELS}, lambda x: x <> -100 AND x <> 0))), 4) AS gen_len FROM heldout_examples GROUP BY split",
         "padded_batches": f"WITH l AS (SELECT item_id, source, {_LABELS} AS l FROM heldout_examples), m AS (SELECT source, ceil(max(len(l)) / 8.0)::BIGINT * 8 AS n FROM l GROUP BY source) SELECT item_id, n AS padded, (len(list_filter(l, lambda x: x = -100)) + n - len(l))::BIGINT AS masked FROM l JOIN m USING (source)",
     }
-    return out
+    return out | {"document_counts_sql": out["document_counts"]}

@@ -99,8 +99,9 @@ def build_split(corpus: Corpus, split: str, modes: tuple[str, ...], settings: Se
     for mode in modes:
         N.check_mode(mode)
     own = Corpus(corpus.chunks.where(F.col("split") == split), corpus.texts, corpus.targets, corpus.templates)
-    docs = documents(own)
-    used = papers(docs, own.chunks, settings, 1 if split == "test" else settings.chunk.min_chunks)
+    # each is read several times below; cut here, the plans stay small
+    docs = checkpointed(documents(own))
+    used = checkpointed(papers(docs, own.chunks, settings, 1 if split == "test" else settings.chunk.min_chunks))
     config = settings.retrieval if modes else RetrievalConfig(settings.retrieval.final_k, 0, settings.retrieval.mmr_lambda, settings.retrieval.dimensions)
     picks = clean_picks(docs, used, corpus, config)
     if modes:
@@ -112,7 +113,7 @@ def build_split(corpus: Corpus, split: str, modes: tuple[str, ...], settings: Se
     pool = pool_of(corpus, settings)
     sims = checkpointed(similarities(pool, corpus.templates, settings.retrieval.dimensions))
     for mode in modes:
-        drawn = N.draw_noise(sims, used.select("paper_id", "query"), mode, settings.retrieval.noise_k, settings.noise)
+        drawn = checkpointed(N.draw_noise(sims, used.select("paper_id", "query"), mode, settings.retrieval.noise_k, settings.noise))
         mixed = N.noisy_contexts(picks, drawn, mode, settings.noise)
         out = out.unionByName(_examples(mixed, used, corpus, settings, "noisy", mode))
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quireflow.config import QUERY_TEMPLATES, NoiseConfig, PromptConfig
 from quireflow.functions import text as T
 from quireflow.functions import vectors as V
+from quireflow.operators import chunk_rows
 from quireflow.operators import chunking as C
 from quireflow.operators import metrics as M
 from quireflow.operators import noise as N
@@ -101,8 +102,7 @@ def section_header_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _valid(spark, folder).select("row_id", F.explode(C.sections(F.col("article"))).alias("s"))
-    return rows.select("row_id", "s.section_index", "s.section", "s.content", "s.n_words")
+    return chunk_rows.section_rows(_valid(spark, folder), "row_id", "article")
 
 
 def section_fallback(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +122,11 @@ def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_rows.document_counts(_valid(spark, folder), "row_id", "article")
+
+
+def document_counts_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by expressions alone."""
     return C.process_documents(_valid(spark, folder), "row_id").select("row_id", "num_sections", "num_chunks")
 
 
@@ -446,7 +451,7 @@ def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES: tuple[Query, ...] = (
     clean_field, valid_papers, normalize_space, safe_strip, word_count, token_estimate, line_split, heading_flag, heading_title, sentence_split,
-    choose_query, chunk_gid, id_suffix, section_header_prefix, sections, section_fallback, chunks, chunk_overlap, document_counts, min_chunks_filter,
+    choose_query, chunk_gid, id_suffix, section_header_prefix, sections, section_fallback, chunks, chunk_overlap, document_counts, document_counts_sql, min_chunks_filter,
     paper_ids, make_documents, rejected_papers, l2_normalize, all_scores, masked_mean_pool, hashing_encode, candidate_k_rule, topk_candidates,
     pairwise_sim, mmr_select, mmr_search, negatives_random, negatives_hard, training_contexts, noise_pool, noise_percentiles, noise_bands,
     noise_fallback, noise_sample, noise_random, noisy_contexts, format_contexts, format_items, truncate_context, budget_prefix, build_input_plain,

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quireflow.config import ChunkConfig
+from quireflow.operators import chunk_rows
 from quireflow.operators import chunking as C
 
 
@@ -35,6 +36,26 @@ def test_windows_agree_with_a_loop(spark, words, most, overlap):
     assert bounds(spark, words, ChunkConfig(max_words=most, overlap_words=overlap)) == folded(words, most, overlap)
 
 
+@settings(max_examples=300, deadline=None)
+@given(words=st.lists(st.integers(1, 40), max_size=30), most=st.integers(5, 60), overlap=st.integers(0, 30))
+def test_batch_windows_agree_with_a_loop(words, most, overlap):
+    assert chunk_rows.windows(words, ChunkConfig(max_words=most, overlap_words=overlap)) == folded(words, most, overlap)
+
+
+def test_batches_and_expressions_agree(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["1. Intro", "RESULTS OF X", "results", "A b c d. E f", "one two three four five six seven eight nine ten eleven.", "\x1c", "é É", "I think so", "2.1 A", "x" * 130, "Word " * 160 + "end."]
+    texts = [rng.choice(["\n", "\r\n", "\u2028", " "]).join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(150)] + ["", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "paper_id long, article string")
+    fast = {r.paper_id: [] for r in df.collect()}
+    for r in C.chunk_documents(df).orderBy("paper_id", "chunk_id").collect():
+        fast[r.paper_id].append(tuple(r)[2:])
+    slow = df.where("trim(article) <> ''").select("paper_id", C.chunk_array(F.col("article")).alias("c")).collect()
+    assert {r.paper_id: [tuple(c) for c in r.c] for r in slow} == {k: v for k, v in fast.items() if v}
+
+
 def test_sections(spark):
     ten = "one two three four five six seven eight nine ten"
     text = f"{ten}\n1. First\nMETHODS AND DATA\n{ten}.\r\n{ten}\nresults\ntoo short"
