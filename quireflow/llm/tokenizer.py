@@ -264,19 +264,37 @@ class Encoder:
         edges = out_at[np.searchsorted(starts, np.append(byte_ends - text_bytes, len(data)), side="left")]
         return out, np.diff(edges)
 
+    @staticmethod
+    def _cuts(data: np.ndarray, low: int, high: int) -> list[int]:
+        """Places to cut a long text so that no piece is cut: before a space between two ASCII letters."""
+        cuts = []
+        at = low + _BLOCK_BYTES
+        while at < high - 1:
+            part = data[at - 1 : min(high, at + _BLOCK_BYTES)]
+            letter = ((part | 0x20) >= ord("a")) & ((part | 0x20) <= ord("z"))
+            hit = np.flatnonzero(letter[:-2] & (part[1:-1] == 0x20) & letter[2:])
+            if len(hit):
+                at += int(hit[0])
+                cuts.append(at)
+            at += _BLOCK_BYTES
+        return cuts
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; an empty list for a null or an empty one."""
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-        flat, counts, at = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], 0
+        flat, counts = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+        at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BLOCK_BYTES, side="right")) - 1)
-            ids, sizes = self.block(data[offsets[at] : offsets[stop]], np.diff(offsets[at : stop + 1]))
-            flat.append(ids)
-            counts.append(sizes)
+            cuts = self._cuts(data, int(offsets[at]), int(offsets[stop])) if stop == at + 1 else []
+            for low, high in zip([offsets[at], *cuts], [*cuts, offsets[stop]], strict=True):
+                ids, sizes = self.block(data[low:high], np.diff(offsets[at : stop + 1]) if not cuts else np.array([high - low]))
+                flat.append(ids)
+                counts[at:stop] += sizes
             at = stop
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -80,22 +80,37 @@ def token_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """
     hashes: list[np.ndarray] = []
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        part: list[str] = []
-        lengths: list[int] = []
-        total = 0
-        first = at
-        while at < len(texts) and (total < _BLOCK or not part):
-            low = (texts[at] or "").lower()
-            part.append(low)
-            lengths.append(len(low) + 1)
-            total += len(low) + 1
-            at += 1
-        starts, found = _block_hashes(code_points("\n".join(part) + "\n"))
+    done = 0
+    for block in _blocks(texts):
+        starts, found = _block_hashes(code_points("\n".join(part for _, part in block) + "\n"))
         hashes.append(found)
-        offsets[first + 1 : at + 1] = offsets[first] + np.searchsorted(starts, np.cumsum(lengths), side="left")
-    return (np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)), offsets
+        ends = np.searchsorted(starts, np.cumsum([len(part) + 1 for _, part in block]), side="left")
+        for (k, _), end in zip(block, (done + ends).tolist(), strict=True):
+            offsets[k + 1] = end
+        done += len(found)
+    return (np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)), np.maximum.accumulate(offsets)
+
+
+def _blocks(texts: Sequence[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Lower-cased texts with their places in blocks of a bounded size; a longer text is cut at spaces."""
+    block: list[tuple[int, str]] = []
+    total = 0
+    for k, text in enumerate(texts):
+        low = (text or "").lower()
+        at = 0
+        while at == 0 or at < len(low):
+            stop = len(low)
+            if stop - at > _BLOCK:
+                space = low.rfind(" ", at + 1, at + _BLOCK)
+                stop = space if space > at else stop  # without a space it stays whole
+            block.append((k, low[at:stop]))
+            total += stop - at + 1
+            at = max(stop, 1)
+            if total >= _BLOCK:
+                yield block
+                block, total = [], 0
+    if block:
+        yield block
 
 
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

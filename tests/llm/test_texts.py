@@ -133,6 +133,17 @@ def test_ids_agree_with_a_public_library(vocabulary):
     assert found == [other.encode_ordinary(t or "") for t in texts]
 
 
+def test_long_texts_are_cut_without_a_trace(vocabulary, monkeypatch):
+    from quireflow.llm import tokens as tokens_module
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["don't", "zanlovane", "a", "  ", "é", "1.5", "x\n"]) for _ in range(n)) for n in (0, 3, 900, 5, 2000)]
+    whole = tokenizer.Encoder(vocabulary).encode(pa.array(texts)).to_pylist(), [x.tolist() for x in tokens_module.token_hashes(texts)]
+    monkeypatch.setattr(tokenizer, "_BLOCK_BYTES", 100)
+    monkeypatch.setattr(tokens_module, "_BLOCK", 64)
+    assert whole == (tokenizer.Encoder(vocabulary).encode(pa.array(texts)).to_pylist(), [x.tolist() for x in tokens_module.token_hashes(texts)])
+
+
 def test_encoding_a_table(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (1, "hello world", "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, ids string")
     rows = sorted((r.doc_id, r.ids) for r in tokenizer.encode(df).collect())
