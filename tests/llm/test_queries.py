@@ -35,7 +35,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("dataset_info", "rulebase_chunkforpdf", "documents", "heldout_examples"):
+    for t in ("dataset_info", "rulebase_chunkforpdf", "databuildt", "documents", "heldout_examples"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = llm.queries()[name](spark, SMALL)
     found = con.execute(llm.oracle_sql()[name])
