@@ -26,7 +26,7 @@ _SKETCH = 1 << 24  # one-byte counters: 16 MB, whatever the number of texts
 _SEGMENT = 1 << 16
 
 
-def _sketch(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray:
+def shingle_counts(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray:
     """How many texts hold the shingles of each cell, as far as 255.
 
     A fixed size.  Shingles that fall together only move later in the common
@@ -123,7 +123,7 @@ def overlaps(
         held_out.alias("held_out"),
         (F.lit(0) if within is None else within).cast("long").alias("within"),
     ).where("id is not null and text is not null and held_out is not null and within is not null")
-    sketch = _sketch(texts.where("held_out"), width, least_tokens)
+    sketch = shingle_counts(texts.where("held_out"), width, least_tokens)
     rows = checkpointed(_prefixes(texts, width, least_tokens, threshold, sketch))
     key = ["held_out", "sig", "sig2"]
     # copies have the same prefix; the least of them is indexed or probes for all

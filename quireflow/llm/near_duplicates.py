@@ -6,6 +6,10 @@ the middle: each emits every variant within half the radius, that is every
 subset with r/2 elements left out, and both emit a subset of their
 intersection.  Variants are shuffled, colliding texts become candidate pairs,
 and each pair is verified on its whole shingle sets.
+
+Hashing proves most links, but not all: a pair may share too few of the least
+hashes or meet only in crowded buckets.  An exact prefix-filter join then
+finds every link between texts that are not in one group yet.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.pairs import components, string_values, verified
-from quireflow.llm.tokens import mix, shingle_hashes, signatures, token_hashes
+from quireflow.llm.cross_split import shingle_counts
+from quireflow.llm.pairs import Bloom, components, string_values, verified
+from quireflow.llm.tokens import distinct_shingles, mix, shingle_hashes, signatures, token_hashes
 from quireflow.session import checkpointed
 
 _NEAR = 4  # members of a bucket that a task sends on one by one; beyond, one leader stands for them
+_BLOCK_PAIRS = 1 << 20  # pairs of a bucket that are compared at once
 
 
 def fingerprints(df: DataFrame, width: int, least_tokens: int, size: int) -> DataFrame:
@@ -155,6 +161,103 @@ def candidate_pairs(fps: DataFrame, size: int, kept: int) -> DataFrame:
     return shuffled.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, threshold: float) -> DataFrame:
+    """(id, n, shingles, places) of the texts whose prefix has a shingle that another text may hold.
+
+    Shingles are ordered by how many texts hold them, rarest first; two texts
+    that reach the threshold share one of their first n - ceil(threshold * n) + 1.
+    Only rows of `ids` are sure to come out; a few others may.
+    """
+    context = texts.sparkSession.sparkContext
+    counts, wanted = context.broadcast(shingle_counts(texts, width, least_tokens)), context.broadcast(Bloom.of(ids, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
+            flat, offsets, _ = distinct_shingles(string_values(batch.column(2)), width, least_tokens)
+            within = mix(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+            sizes = np.diff(offsets)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rank = counts.value[(flat % np.uint64(len(counts.value))).astype(np.int64)]
+            order = np.lexsort((flat, rank, owner))
+            flat, rank = flat[order], rank[order]
+            place = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
+            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            keep = np.flatnonzero((rank > 1) & (place < prefix[owner]))
+            held = np.bincount(owner[keep], minlength=len(sizes))
+            ends = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array((flat[keep] ^ within[owner[keep]]).view(np.int64)))
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[keep].astype(np.int32)))
+            columns = [batch.column(0), pa.array(sizes.astype(np.int32)), shingles, places]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "shingles", "places"]).filter(pa.array(held > 0))
+
+    rows = texts.select("id", F.xxhash64("id").alias("h"), "text", "within")
+    return rows.mapInArrow(run, "id long, n int, shingles array<long>, places array<int>")
+
+
+def _across(bucket: np.ndarray, root: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs in one bucket but in different groups, j from `start` on.
+
+    Rows are ordered by bucket and root.  Members of one group are passed over
+    as a run, so a bucket of one group costs its length.
+    """
+    n = len(bucket)
+    new_run = np.ones(n, dtype=bool)
+    new_run[1:] = (bucket[1:] != bucket[:-1]) | (root[1:] != root[:-1])
+    new_bucket = np.ones(n, dtype=bool)
+    new_bucket[1:] = bucket[1:] != bucket[:-1]
+    # each row meets the rows of its bucket before its own run
+    run = np.maximum.accumulate(np.where(new_run, np.arange(n), 0))
+    first = np.maximum.accumulate(np.where(new_bucket, np.arange(n), 0))
+    later = np.arange(start, n)
+    todo = (run - first)[start:]
+    total = np.concatenate([[0], np.cumsum(todo)])
+    for at in range(0, int(total[-1]), _BLOCK_PAIRS):
+        k = np.arange(at, min(at + _BLOCK_PAIRS, int(total[-1])))
+        row = np.searchsorted(total, k, side="right") - 1
+        yield first[later[row]] + k - total[row], later[row]
+
+
+def unproven_pairs(texts: DataFrame, ids: DataFrame, roots: DataFrame, width: int, least_tokens: int, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of `ids` in different groups that may reach the threshold; none that does is missing.
+
+    `roots` (id, root) are the groups so far; an id without one is its own.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = [np.zeros(0, dtype=np.int64) for _ in range(5)]
+        for batch in batches:
+            # the last bucket goes on in the next batch, where its rows meet those after them
+            start = len(old[0])
+            bucket, root, ids_here, n, at = rows_here = [np.concatenate([o, c.to_numpy()]) for o, c in zip(old, batch.columns, strict=True)]
+            for i, j in _across(bucket, root, start):
+                least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                near = least >= threshold * most - 1e-9
+                i, j, most = i[near], j[near], most[near]
+                need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
+                room = np.minimum(n[i] - at[i], n[j] - at[j])
+                slack = need - (np.ceil(threshold * most - 1e-9) - 1)
+                a, b = np.minimum(ids_here[i], ids_here[j]), np.maximum(ids_here[i], ids_here[j])
+                order = np.lexsort((b, a))
+                a, b, fits, slack = a[order], b[order], (room >= need)[order], slack[order].astype(np.int64)
+                new = np.ones(len(a), dtype=bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                at_pair = np.flatnonzero(new)
+                if len(at_pair):
+                    columns = [a[at_pair], b[at_pair], np.diff(np.append(at_pair, len(a))), np.logical_or.reduceat(fits, at_pair), slack[at_pair]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "shared", "fits", "least_shared"])
+            if len(bucket):
+                last = bucket == bucket[-1]
+                old = [x[last] for x in rows_here]
+
+    rows = _prefixes(texts, ids, width, least_tokens, threshold).join(ids, "id", "left_semi").join(roots, "id", "left")
+    entries = rows.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
+    entries = entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at"))
+    met = entries.repartition("key").sortWithinPartitions("key", "root").mapInArrow(meet, "a long, b long, shared long, fits boolean, least_shared long")
+    # past the prefix that ends first only the rest of its set can be shared
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("fits").alias("fits"), F.max("least_shared").alias("least_shared")).where("fits and shared >= least_shared").select("a", "b")
+
+
 def near_duplicates(
     df: DataFrame,
     id_column: str,
@@ -185,8 +288,12 @@ def near_duplicates(
     prints = checkpointed(fingerprints(texts, width, least_tokens, size))
     distinct = prints.groupBy("sig", "sig2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"))
     pairs = checkpointed(candidate_pairs(distinct, size, kept))
-    links = verified(pairs, texts, width, least_tokens, threshold)
-    roots = components(links)
+    links = checkpointed(verified(pairs, texts, width, least_tokens, threshold).select("a", "b"))
+    roots = checkpointed(components(links))
+    rest = checkpointed(unproven_pairs(texts, distinct.select("id"), roots, width, least_tokens, threshold))
+    more = verified(rest, texts, width, least_tokens, threshold).select("a", "b")
+    # a group so far is one link from each member to its root
+    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
     # copies hang under the least of them
     copied = distinct.where("copies > 1").select("sig", "sig2", F.col("id").alias("least"))
     copies = prints.select("id", "sig", "sig2").join(copied, ["sig", "sig2"]).select("id", "least")

@@ -59,6 +59,15 @@ def test_a_hot_group_of_near_copies(spark):
     assert {r.id for r in rows} == set(range(500)) and {r.group for r in rows} == {0}
 
 
+def test_links_that_meet_only_in_crowded_buckets(spark):
+    rng = random.Random(8)
+    shared = X.prose(rng, 62)
+    own = [X.prose(rng, 10) for _ in range(100)]
+    values = [f"{shared} {mine} {X.prose(rng, 28)}" for _ in range(2) for mine in own]  # partners' ids are far apart
+    found = {r.id: r.group for r in near_duplicates(frame(spark, values).repartition(3), "key", "body", 3, 0.5).collect()}
+    assert found == X.groups(values, 0.5)
+
+
 def test_nothing_to_group(spark):
     assert near_duplicates(frame(spark, []), "key", "body").count() == 0
     assert near_duplicates(frame(spark, [None, "", "x"]), "key", "body").count() == 0
