@@ -68,6 +68,18 @@ def test_links_that_meet_only_in_crowded_buckets(spark):
     assert found == X.groups(values, 0.5)
 
 
+def test_texts_contained_in_another(spark):
+    rng = random.Random(9)
+    values = []
+    for _ in range(200):
+        base = X.prose(rng, 60)
+        values += [base, f"{base} {X.prose(rng, 56)}"]
+    linked = {i for i in range(0, 400, 2) if X.similarity(values[i], values[i + 1]) >= 0.5}
+    assert len(linked) > 150
+    found = {r.id: r.group for r in near_duplicates(frame(spark, values), "key", "body", 3, 0.5).collect()}
+    assert found == {i + k: i for i in linked for k in (0, 1)}
+
+
 def test_nothing_to_group(spark):
     assert near_duplicates(frame(spark, []), "key", "body").count() == 0
     assert near_duplicates(frame(spark, [None, "", "x"]), "key", "body").count() == 0
