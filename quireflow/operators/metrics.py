@@ -68,21 +68,30 @@ def rouge_l(pairs: DataFrame, key: str, prediction: str = "prediction", referenc
 
 
 def _lcs_places(reference: list[str], candidate: list[str]) -> set[int]:
-    """Places in the reference of one longest common subsequence."""
-    n, m = len(reference), len(candidate)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            table[i + 1][j + 1] = table[i][j] + 1 if reference[i] == candidate[j] else max(table[i][j + 1], table[i + 1][j])
-    places, i, j = set(), n, m
+    """Places in the reference of one longest common subsequence.
+
+    Row j has a zero bit at i where the length for the first j words of the
+    candidate grows with word i of the reference; the way back reads the rows.
+    """
+    bits: dict[str, int] = {}
+    for i, word in enumerate(reference):
+        bits[word] = bits.get(word, 0) | 1 << i
+    full = (1 << len(reference)) - 1
+    rows = [full]
+    row = full
+    for word in candidate:
+        if matched := row & bits.get(word, 0):
+            row = ((row + matched) | (row - matched)) & full
+        rows.append(row)
+    places, i, j = set(), len(reference), len(candidate)
     while i and j:
         if reference[i - 1] == candidate[j - 1]:
             places.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i][j - 1] > table[i - 1][j]:
-            j -= 1
-        else:
+        elif rows[j] >> (i - 1) & 1:
             i -= 1
+        else:
+            j -= 1
     return places
 
 

@@ -402,6 +402,11 @@ def _scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _valid(spark, folder).select("row_id", "split", P.WhitespaceTokenizer().truncate(F.col("article"), 60).alias("prediction"), F.col("abstract").alias("reference"))
 
 
+def _whole_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions are whole articles with their line ends, references the abstracts."""
+    return _valid(spark, folder).select("row_id", "split", F.col("article").alias("prediction"), F.col("abstract").alias("reference"))
+
+
 def _rouge(n: int) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return M.rouge_n(_scored_pairs(spark, folder), "row_id", n).withColumn("score", F.round("score", 6))
@@ -410,15 +415,15 @@ def _rouge(n: int) -> Query:
 
 
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
-    return M.rouge_l(_scored_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
+    return M.rouge_l(_whole_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
 
 
 def rouge_lsum(spark: SparkSession, folder: str) -> DataFrame:
-    return M.rouge_lsum(_scored_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
+    return M.rouge_lsum(_whole_pairs(spark, folder), "row_id").withColumn("score", F.round("score", 6))
 
 
 def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
-    return M.rouge_n(_scored_pairs(spark, folder), "row_id", 1, prepare=M.stemmed_tokens).withColumn("score", F.round("score", 6))
+    return M.rouge_n(_whole_pairs(spark, folder), "row_id", 1, prepare=M.stemmed_tokens).withColumn("score", F.round("score", 6))
 
 
 def metrics_summary(spark: SparkSession, folder: str) -> DataFrame:
