@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.tokens import _BASE, _INVERSE, _powers, mix
+from quireflow.llm.tokens import mix, range_hashes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _BLOCK_BYTES = 1 << 20
@@ -46,12 +46,25 @@ def _class_table() -> np.ndarray:
     return table
 
 
-def _hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    size = 1 << max(10, (len(data) + 1).bit_length())
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size, _BASE)[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(size, _INVERSE)[starts])
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer as one number; the buffer is padded behind."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _same_bytes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the ranges of two buffers, given as _words, that begin at `starts` and `at` hold the same bytes."""
+    same = np.ones(len(starts), dtype=bool)
+    open_rows = np.arange(len(starts))
+    done = 0
+    while len(open_rows):
+        left = np.minimum(sizes[open_rows] - done, 8)
+        mask = np.where(left == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left.astype(np.uint64) * np.uint64(8))) - np.uint64(1))
+        differ = ((words[starts[open_rows] + done] ^ others[at[open_rows] + done]) & mask) != 0
+        same[open_rows[differ]] = False
+        done += 8
+        open_rows = open_rows[~differ & (sizes[open_rows] > done)]
+    return same
 
 
 def _second(hashes: np.ndarray) -> np.ndarray:
@@ -123,10 +136,16 @@ def _spread(first: np.ndarray, second: np.ndarray, pilot: np.ndarray, n: int) ->
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The entries of a byte-level BPE vocabulary and their perfect hash."""
+    """The entries of a byte-level BPE vocabulary, their perfect hash, and their bytes in one buffer.
+
+    The hash gives an entry's place; that its bytes are the pre-token's is checked.
+    """
 
     ranks: dict[bytes, int]
     table: PerfectHash
+    data: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -137,8 +156,20 @@ class Vocabulary:
         lengths = np.array([len(e) for e in entries])
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(entries), dtype=np.uint8)
-        hashes = _hash_bytes(data, ends - lengths, ends)
-        return Vocabulary(ranks, PerfectHash.build(hashes, np.array(list(ranks.values()), dtype=np.int32)))
+        hashes = range_hashes(data, ends - lengths, ends)
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two entries of the vocabulary have the same hash")
+        table = PerfectHash.build(hashes, np.arange(len(entries), dtype=np.int32))
+        return Vocabulary(ranks, table, data, np.concatenate([[0], ends]), np.array(list(ranks.values()), dtype=np.int32))
+
+    def find(self, words: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each byte range, and whether it is an entry."""
+        place, hit = self.table.find(range_hashes(data, starts, ends))
+        sizes = ends - starts
+        hit &= sizes == self.ends[place + 1] - self.ends[place]
+        rows = np.flatnonzero(hit)
+        hit[rows] = _same_bytes(words, starts[rows], sizes[rows], _words(self.data), self.ends[place[rows]])
+        return self.ids[place], hit
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -212,20 +243,21 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pieces: list[np.ndarray] = []
 
-    def _missing(self, keys: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each key in the flat ids of this call, and those ids' offsets with the ids behind them."""
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        found: list[int] = []
-        for key, a, b in zip(unique.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            at = self.known.get(key)
+    def _missing(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each piece in the flat ids of this call, and the places of those ids."""
+        rows: dict[int, int] = {}
+        inverse = np.empty(len(starts), dtype=np.int64)
+        for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            piece = data[a:b]
+            at = self.known.get(piece)
             if at is None:
-                at = self.known[key] = len(self.pieces)
-                self.pieces.append(np.array(merge(data[a:b], self.vocabulary.ranks), dtype=np.int32))
-            found.append(at)
-        return inverse, np.array(found, dtype=np.int64)
+                at = self.known[piece] = len(self.pieces)
+                self.pieces.append(np.array(merge(piece, self.vocabulary.ranks), dtype=np.int32))
+            inverse[k] = rows.setdefault(at, len(rows))
+        return inverse, np.fromiter(rows, dtype=np.int64, count=len(rows))
 
     def block(self, data: np.ndarray, text_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of joined texts and the number of ids of each; text_bytes has each text's length."""
@@ -243,12 +275,11 @@ class Encoder:
         first = piece_starts(points, text_starts)
         starts = at[first]
         ends = np.append(starts[1:], len(data))
-        hashes = _hash_bytes(data, starts, ends)
-        ids, hit = self.vocabulary.table.find(hashes)
+        ids, hit = self.vocabulary.find(_words(data), data, starts, ends)
         counts = np.ones(len(starts), dtype=np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            inverse, rows = self._missing(hashes[miss], raw, starts[miss], ends[miss])
+            inverse, rows = self._missing(raw, starts[miss], ends[miss])
             sizes = np.array([len(self.pieces[r]) for r in rows.tolist()])
             counts[miss] = sizes[inverse]
         out_at = np.zeros(len(starts) + 1, dtype=np.int64)

@@ -2,9 +2,9 @@
 
 A token is a maximal run of Unicode letters, marks and numbers of the
 lower-cased text.  A whole Arrow batch is hashed at once: the texts become one
-array of code points, token hashes come from one polynomial prefix sum modulo
-2**64, and shingles are mixed from neighbouring token hashes.  Nothing loops
-over tokens or characters in Python.
+array of code points, a token's hash is the sum of its characters each mixed
+with its place, and shingles are mixed from neighbouring token hashes.  Nothing
+loops over tokens or characters in Python.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from functools import cache
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE, _SPREAD = np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
 _BLOCK = 1 << 20
 
 
@@ -29,19 +28,6 @@ def word_table() -> np.ndarray:
     return np.array(kinds, dtype=bool)
 
 
-@cache
-def _powers(n: int, base: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n, by doubling."""
-    out = np.ones(n, dtype=np.uint64)
-    done, step = 1, base
-    while done < n:
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * np.uint64(step)
-        step = step * step & _MASK
-        done += k
-    return out
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of the result depends on all bits."""
     h = h ^ (h >> np.uint64(30))
@@ -63,14 +49,30 @@ def token_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of an array of numbers; no range is empty.
+
+    A sum of values mixed with their place.  A polynomial modulo 2**64 would be
+    cheaper, but it gives some texts of two letters the same hash whatever its base.
+    """
+    sizes = ends - starts
+    at = np.cumsum(sizes) - sizes
+    if not len(sizes):
+        return np.zeros(0, dtype=np.uint64)
+    take = np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)
+    place = take - np.repeat(starts, sizes)
+    h = values[take].astype(np.uint64) * np.uint64(_BASE)
+    h += place.astype(np.uint64) * _PLACE
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD
+    h ^= h >> np.uint64(29)
+    return mix(np.add.reduceat(h, at) + sizes.astype(np.uint64))
+
+
 def _block_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each token; the array must not cut a token."""
     starts, ends = token_spans(points)
-    n = len(points)
-    size = 1 << max(10, (n + 1).bit_length())
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(size, _BASE)[:n], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * _powers(size, _INVERSE)[starts])
+    return starts, range_hashes(points, starts, ends)
 
 
 def token_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +155,10 @@ def distinct_shingles(texts: Sequence[str | None], width: int, least_tokens: int
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each text's whole token sequence."""
     counts = np.diff(offsets)
-    size = 1 << max(10, (len(hashes) + 1).bit_length())
-    within = np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)
+    within = (np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)).astype(np.uint64)
     out = []
     for salt in (0x1234567F, 0x7F4A7C15):
         sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(mix(hashes ^ np.uint64(salt)) * _powers(size, _BASE)[within], out=sums[1:])
+        np.cumsum(mix(hashes ^ mix(within * _PLACE + np.uint64(salt))), out=sums[1:])
         out.append(mix(sums[offsets[1:]] - sums[offsets[:-1]] + counts.astype(np.uint64) * np.uint64(salt)))
     return out[0], out[1]
