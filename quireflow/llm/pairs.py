@@ -30,7 +30,12 @@ class Bloom:
 
     @staticmethod
     def of(ids: DataFrame, column: str) -> Bloom:
-        hashed = ids.select(F.xxhash64(column).alias("h"))
+        return Bloom.of_hashes(ids.select(F.xxhash64(column).alias("h")), "h")
+
+    @staticmethod
+    def of_hashes(ids: DataFrame, column: str) -> Bloom:
+        """Of numbers that are hashes already."""
+        hashed = ids.select(F.col(column).alias("h"))
         word = F.pmod("h", F.lit(_BLOOM_WORDS)).cast("int")
         bits = F.expr("shiftleft(1L, int(pmod(h >> 20, 64))) | shiftleft(1L, int(pmod(h >> 32, 64)))")
         rows = hashed.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()  # at most _BLOOM_WORDS rows
