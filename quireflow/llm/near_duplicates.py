@@ -1,12 +1,12 @@
 """Groups of near-duplicate texts by meet-in-the-middle ball hashing.
 
-A text has several fingerprints of four symbols, each symbol being the least of
+A text has several fingerprints of five symbols, each symbol being the least of
 its shingles under one of many hash functions, so two texts agree in a symbol
 with a probability equal to their similarity.  Two fingerprints within radius 2
 (the number of symbols that differ) meet in the middle: each emits every variant
 within half the radius, that is with one symbol masked.  Variants are shuffled,
-colliding texts become candidate pairs, and each pair is verified on its whole
-shingle sets.
+and colliding texts become candidate pairs.  A pair that agrees in far too few of
+all symbols is dropped; each other one is verified on its whole shingle sets.
 
 A crowded bucket pairs its members with a few of them only.  The members of
 those crowded buckets that then still belong to more than one group go through
@@ -29,9 +29,9 @@ from quireflow.session import checkpointed
 
 _NEAR = 4  # a bucket of more than one beyond it is crowded
 _BLOCK_PAIRS = 1 << 20  # pairs of a bucket that are compared at once
-_SYMBOLS = 4  # of a fingerprint
+_SYMBOLS = 5  # of a fingerprint
+_DEVIATIONS = 4.5  # below the expected agreement of symbols at which a pair is dropped
 _PART_ENTRIES = 2_000_000  # of variants that a task sorts at once
-_KEY_BYTES = 6
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -55,7 +55,6 @@ def fingerprints(df: DataFrame, width: int, least_tokens: int, prints: int) -> D
             within = mix(batch.column(2).to_numpy().view(np.uint64))
             keep = np.flatnonzero(np.diff(at) > 0)
             symbols = np.zeros((len(keep), len(factors)), dtype=np.uint16)
-            # a fixed number of shingles at a time, so that long texts need no more memory
             edges = at[keep]
             for k, factor in enumerate(factors) if len(keep) else ():
                 symbols[:, k] = mix(np.minimum.reduceat(flat * factor, edges)).astype(np.uint16)
@@ -79,9 +78,11 @@ def _variants(fp: pa.Array, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     out = []
     for p in range(symbols.shape[1]):
         for masked in range(_SYMBOLS):
-            left = [symbols[:, p, k] for k in range(_SYMBOLS) if k != masked]
-            key = left[0] | left[1] << np.uint64(16) | left[2] << np.uint64(32)
-            out.append(mix(mix(key + np.uint64((p * _SYMBOLS + masked) << 48)) ^ within))
+            key = np.full(n, p * _SYMBOLS + masked, dtype=np.uint64)
+            for k in range(_SYMBOLS):
+                if k != masked:
+                    key = mix(key ^ symbols[:, p, k]) * np.uint64(0x9E3779B97F4A7C15)
+            out.append(mix(key ^ within))
     return np.concatenate(out), np.tile(np.arange(n), len(out))
 
 
@@ -199,6 +200,29 @@ def _pairs(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
 
 
+def agreeing(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that agree in about as many symbols as the threshold lets expect."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.of(ids, "id"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(wanted.value.may_hold(batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["id", "fp"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
+            n = left.shape[1]
+            least = threshold * n - _DEVIATIONS * np.sqrt(threshold * (1 - threshold) * n)
+            keep = pa.array((left == right).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    held = prints.select("id", "fp", F.xxhash64("id").alias("h")).mapInArrow(asked, "id long, fp binary")
+    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("fp").alias("left")), "a").join(held.select(F.col("id").alias("b"), F.col("fp").alias("right")), "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long")
+
+
 def _mixed_members(texts: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
     """The ids (id) in crowded buckets (key) whose members belong to more than one group."""
 
@@ -227,10 +251,17 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
 
     Shingles are ordered by how many texts hold them, rarest first; two texts
     that reach the threshold share one of their first n - ceil(threshold * n) + 1.
-    Only rows of `ids` are sure to come out; a few others may.
+    Only rows of `ids` are sure to come out and are sure to be counted; a few others may be.
     """
     context = texts.sparkSession.sparkContext
-    counts, wanted = context.broadcast(shingle_counts(texts, width, least_tokens)), context.broadcast(Bloom.of(ids, "id"))
+    wanted = context.broadcast(Bloom.of(ids, "id"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False)))).select(["text"])
+
+    some = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(asked, "text string")
+    counts = context.broadcast(shingle_counts(some, width, least_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +357,7 @@ def near_duplicates(
     width: int = 5,
     threshold: float = 0.8,
     least_tokens: int = 20,
-    prints: int = 20,
+    prints: int = 30,
     within: Column | None = None,
 ) -> DataFrame:
     """(id, group) of every row that has a near-duplicate; group is the least id.
@@ -339,9 +370,10 @@ def near_duplicates(
     two named columns are read.  With `within`, a number, only rows that agree
     in it are compared, so that one pass serves several tables.
 
-    Of a pair of similarity s a fingerprint's symbols meet with probability
-    4 s^3 (1 - s) + s^4; with 20 fingerprints a pair of 0.5 is missed 6 times in
-    10,000, one of 0.6 twice in a million, unless other texts link it.
+    Two fingerprints of texts of similarity s meet with probability
+    5 s^4 (1 - s) + s^5.  With 30 of them a pair of exactly 0.5 is missed twice in
+    a thousand, one of 0.55 once in 7,000 and one of 0.6 five times in a million,
+    unless other texts link it.
     """
     texts = df.select(
         F.col(id_column).cast("long").alias("id"),
@@ -356,7 +388,8 @@ def near_duplicates(
     distinct = prints_of.join(copies.where("id > least"), "id", "left_anti")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints_of.count() * prints * _SYMBOLS // _PART_ENTRIES))
     found = checkpointed(candidate_pairs(distinct, parts))
-    links = checkpointed(verified(found.where("b is not null"), texts, width, least_tokens, threshold).select("a", "b"))
+    likely = checkpointed(agreeing(found.where("b is not null"), distinct, threshold))
+    links = checkpointed(verified(likely, texts, width, least_tokens, threshold).select("a", "b"))
     roots = components(links)
     crowded = found.where("b is null").select(F.col("a").alias("key"))
     if not crowded.isEmpty():
