@@ -164,8 +164,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Spam pages with the share of abnormal words and of spam words."""
-    prose = table(spark, folder, "dataset_info").select(F.col("abstract").alias("text")).where("abstract is not null")
+    """Spam pages with the share of abnormal words and their mean bits; articles, abstracts and chunks are the prose."""
+    papers, parts = table(spark, folder, "dataset_info"), table(spark, folder, "rulebase_chunkforpdf")
+    prose = papers.select(F.explode(F.array(*P6_FIELDS)).alias("text")).union(parts.select("text")).where("text is not null")
     return spam_pages(table(spark, folder, "documents"), "doc_id", "text", train(prose))
 
 

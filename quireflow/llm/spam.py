@@ -1,11 +1,11 @@
 """Pages of repeated keywords, links, tags and offers instead of sentences.
 
-A trigram model of function words and word classes is trained on prose.  It
-scores every stretch of a page; stretches whose perplexity lies outside the band
-of prose, too high (links, tags, offers) or too low (strings of keywords
-without function words), are abnormal.  Pages mostly made of abnormal stretches
-are then examined word by word, because lists of references, glossaries and
-code read unlike prose too but are no spam.
+A trigram model of function words and word classes is trained on prose.  Links,
+link texts, tags, prices and words that repeat what stood shortly before are
+classes of their own, which prose hardly has.  The model scores every stretch of
+a page; a stretch without enough function words whose perplexity lies outside
+the band of prose of its kind of script is abnormal, and a page is spam if more
+than half of its words lie in abnormal stretches.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.pairs import string_values
-from quireflow.llm.tokens import _block_hashes, code_points, token_spans
+from quireflow.llm.tokens import code_points, mix, range_hashes
 
 # Common function words of several languages, each a class of its own.
 FUNCTION_WORDS = (
@@ -36,31 +36,54 @@ FUNCTION_WORDS = (
     "في من على أن هل إلى عن و "
     "को का के की में है और से ने क्या"
 ).split()
-_COMMON = frozenset(FUNCTION_WORDS)
 _TRIGRAMS = 200_000  # most frequent class trigrams that are kept; a bound on what is broadcast
-_FILLED = 0.6  # share of a line that repeated phrases must fill
-_FEW = 12  # a stretch with fewer function words than one in so many is abnormal
+_FEW = 10  # a stretch with more function words than one in so many is a sentence's
 _STRETCH = 16  # tokens scored together
+_RECENT = 256  # tokens within which a pair of words counts as repeated
 _CLASSES = 512
-_BINS, _BIN_WIDTH = 512, 0.05  # of bits a token
-_LINK, _TAG, _MARKUP = "\ue100", "\ue101", "\ue102"
-_MASKS = ((regex.compile(r"(?:https?://|www\.)\S+"), _LINK), (regex.compile(r"<[^<>]{1,400}>"), _MARKUP), (regex.compile(r"#\w{2,}"), _TAG))
-# classes: function words, then shapes, then scripts, then punctuation
+_BINS, _BIN_WIDTH = 1024, 0.025  # of bits a token
+_LOWEST, _HIGHEST = 0.001, 0.98  # shares of prose that bound its band
+_PRIVATE = {0xE100 + k: "�" for k in range(8)}
+_LINK, _TAG, _MARKUP, _PRICE, _ANCHOR = (chr(0xE100 + k) for k in range(5))
+# classes: function words, then shapes, then masks, then other characters
 _SHAPE = 200  # more than there are function words
-_LOWER, _TITLE, _UPPER, _DIGITS, _MIXED, _WIDE, _CASELESS, _LINE = range(_SHAPE, _SHAPE + 8)
-_PUNCT = _SHAPE + 16
+_LOWER, _TITLE, _UPPER, _DIGITS, _MIXED, _WIDE, _CASELESS, _LINE, _REPEATED = range(_SHAPE, _SHAPE + 9)
+_MASK = _SHAPE + 16
+_OTHER = _SHAPE + 24
+_SCRIPTS = 3  # with case, without, and wide
+
+_ANCHORED = regex.compile(r"<a\s[^<>]*+>((?:(?!<a\s).)*?)</a>", regex.S | regex.I)
+_BRACKETED = regex.compile(r"!?\[([^\[\]\n]*+)\]\([^()\s]++\)")
+_URL = regex.compile(r"(?:https?://|www\.)\S++")
+_HTML = regex.compile(r"<[^<>]++>")
+_HASH = regex.compile(r"(?<!\w)#\w{2,}+")
+# Currencies of offers.
+_AMOUNT = regex.compile(r"\b\d++(?:[.,]\d{2})?\s?(?:EUR|USD|GBP|CHF|€|\$|£)|[€$£]\s?\d++(?:[.,]\d++)*+|\b\d++\.\d{2}\b(?=\s*+(?:$|[/|;·•]))")
 
 
 def _mask(text: str | None) -> str:
-    text = text or ""
-    for pattern, by in _MASKS:
-        text = pattern.sub(by, text)
-    return text
+    """The text with links, link texts, tags and prices as one private character each; link texts keep their number of words."""
+    text = (text or "").translate(_PRIVATE)
+
+    def anchor(match: regex.Match) -> str:
+        return " " + f"{_ANCHOR} " * max(1, len(_HTML.sub(" ", match[1]).split()))
+
+    if "<" in text:
+        text = _ANCHORED.sub(anchor, text)
+    if "](" in text:
+        text = _BRACKETED.sub(anchor, text)
+    if "://" in text or "www." in text:
+        text = _URL.sub(_LINK, text)
+    if "<" in text:
+        text = _HTML.sub(_MARKUP, text)
+    if "#" in text:
+        text = _HASH.sub(_TAG, text)
+    return _AMOUNT.sub(_PRICE, text)
 
 
 @cache
 def _kind_table() -> np.ndarray:
-    """1 upper case, 2 lower case, 3 other letters and marks, 4 numbers, 5 wide letters, 8 spaces, 32 line ends, 16 others."""
+    """1 upper case, 2 lower case, 3 letters and marks without case, 4 numbers, 5 wide letters, 8 spaces, 32 line ends, 16 others."""
     kinds = {"Lu": 1, "Lt": 1, "Ll": 2, "Lo": 3, "Lm": 3, "Mn": 3, "Mc": 3, "Me": 3, "Nd": 4, "Nl": 4, "No": 4, "Zs": 8}
     out = np.array([kinds.get(unicodedata.category(chr(c)), 16) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
     out[[9, 11, 12]] = 8
@@ -72,94 +95,139 @@ def _kind_table() -> np.ndarray:
 
 @cache
 def _words_sorted() -> np.ndarray:
-    return np.sort(_block_hashes(code_points("\n".join(FUNCTION_WORDS) + "\n"))[1])
+    found = [code_points(w) for w in FUNCTION_WORDS]
+    ends = np.cumsum([len(p) for p in found])
+    return np.sort(range_hashes(np.concatenate(found), ends - [len(p) for p in found], ends))
 
 
-def classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token of the texts, and the offsets of each text's tokens.
+def _spans(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: runs of letters, marks and numbers, cut where letters without spaces between words meet others."""
+    group = np.select([(kind == 1) | (kind == 2) | (kind == 4), kind == 3, kind == 5], [1, 2, 3], 0)
+    edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else np.zeros(1, dtype=np.int64)
+    inside = group[edge[:-1]] > 0 if len(group) else np.zeros(0, dtype=bool)
+    return edge[:-1][inside], edge[1:][inside]
 
-    Tokens are words, single other characters, and line ends; white space is none.
-    """
-    words = _words_sorted()
+
+@dataclass(frozen=True)
+class Tokens:
+    """Class and script of the tokens of some texts, and the offsets of each text's tokens; script is -1 for what is no word."""
+
+    classes: np.ndarray
+    script: np.ndarray
+    offsets: np.ndarray
+
+
+def tokens(texts: list[str | None]) -> Tokens:
+    """Tokens are words, runs of one other character, and line ends; white space is none."""
     masked = [_mask(t) for t in texts]
     points = code_points("\n".join(masked) + "\n")
-    kind = _kind_table()[points]
-    starts, ends = token_spans(points)
     low = code_points("\n".join(m.lower() if len(m.lower()) == len(m) else m for m in masked) + "\n")
-    _, hashes = _block_hashes(low) if len(starts) else (None, np.zeros(0, dtype=np.uint64))
-    if len(hashes) != len(starts):  # lower-casing changed what is a word
-        hashes = np.zeros(len(starts), dtype=np.uint64)
+    kind = _kind_table()[points]
+    edges = np.concatenate([[0], np.cumsum([len(m) + 1 for m in masked], dtype=np.int64)])
+    starts, ends = _spans(kind)
+    hashes = range_hashes(low, starts, ends)
+    words = _words_sorted()
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
     function = np.where(words[at] == hashes, at, -1)
-    sums = lambda which: np.diff(np.concatenate([[0], np.cumsum(which)])[np.stack([starts, ends])], axis=0)[0]
-    upper, digit, other, wide = sums(kind == 1), sums(kind == 4), sums(kind == 3), sums(kind == 5)
+    counted = np.concatenate([np.zeros((3, 1), dtype=np.int64), np.cumsum([kind == 1, kind == 4, (kind == 3) | (kind == 5)], axis=1)], axis=1)
+    upper, digit, other = counted[:, ends] - counted[:, starts]
     size = ends - starts
+    script = np.where(other > 0, np.where(kind[starts] == 5, 2, 1), 0) if len(starts) else np.zeros(0, dtype=np.int64)
     shape = np.select(
-        [function >= 0, wide > 0, digit == size, digit > 0, other * 2 > size, (upper == size) & (size > 1), (kind[starts] == 1) if len(starts) else np.zeros(0, dtype=bool)],
-        [function, _WIDE, _DIGITS, _MIXED, _CASELESS, _UPPER, _TITLE],
+        [function >= 0, _repeated(hashes, np.searchsorted(edges, starts, side="right")), script == 2, script == 1, digit == size, digit > 0, (upper == size) & (size > 1), upper > 0],
+        [function, _REPEATED, _WIDE, _CASELESS, _DIGITS, _MIXED, _UPPER, _TITLE],
         _LOWER,
     )
-    inside = np.zeros(len(points) + 1, dtype=np.int8)
-    inside[starts] = 1
-    inside[ends] -= 1
-    single = np.flatnonzero((np.cumsum(inside)[:-1] == 0) & (kind != 8))
-    mark = np.where(kind[single] == 32, _LINE, _PUNCT + points[single] % (_CLASSES - _PUNCT))
+    single = np.flatnonzero((kind == 16) | (kind == 32))
+    again = np.zeros(len(single), dtype=bool)
+    masks = (points[single] >= 0xE100) & (points[single] < 0xE108)
+    again[1:] = (single[1:] == single[:-1] + 1) & (points[single[1:]] == points[single[:-1]]) & ~masks[1:]
+    single, masks = single[~again], masks[~again]
+    value = points[single].astype(np.int64)
+    mark = np.where(kind[single] == 32, _LINE, np.where(masks, _MASK + value - 0xE100, _OTHER + value % (_CLASSES - _OTHER)))
     place = np.concatenate([starts, single])
     order = np.argsort(place, kind="stable")
     found = np.concatenate([shape, mark])[order].astype(np.int64)
-    edges = np.concatenate([[0], np.cumsum([len(m) + 1 for m in masked])])
-    return found, np.searchsorted(place[order], edges)
+    scripts = np.concatenate([script, np.where(masks, 0, -1)])[order].astype(np.int64)
+    return Tokens(found, scripts, np.searchsorted(place[order], edges))
+
+
+def _repeated(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each word and the one before it stood together shortly before in the same text."""
+    out = np.zeros(len(hashes), dtype=bool)
+    if len(hashes) < 2:
+        return out
+    pair = np.where(owner[1:] == owner[:-1], mix(hashes[1:] * np.uint64(3) + hashes[:-1]) ^ mix(owner[1:].astype(np.uint64)), np.arange(len(hashes) - 1).astype(np.uint64))
+    order = np.argsort(pair, kind="stable")
+    near = (pair[order][1:] == pair[order][:-1]) & (order[1:] - order[:-1] <= _RECENT)
+    out[order[1:][near] + 1] = True
+    return out
+
+
+def _before(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes two and one before each token."""
+    return np.concatenate([[_LINE, _LINE], found[:-2]])[: len(found)], np.concatenate([[_LINE], found[:-1]])[: len(found)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Interpolated trigram model over classes, and the band of prose in bits a token."""
+    """Interpolated trigram model over classes, and the band of prose in bits a token for each kind of script."""
 
     trigrams: np.ndarray
     bits: np.ndarray  # of each kept trigram
     back: np.ndarray  # bits of class pairs, for the other trigrams
-    low: float = 0.0
-    high: float = 0.0
-
-    def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bits a token, number of words, of function words, and text of each stretch of up to _STRETCH tokens."""
-        found, offsets = classes(texts)
-        n = len(found)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        one = np.concatenate([[_LINE], found[:-1]])[:n]
-        two = np.concatenate([[_LINE, _LINE], found[:-2]])[:n]
+    low: np.ndarray
+    high: np.ndarray
+
+    def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Bits a token, words, function words, script and text of each stretch of up to _STRETCH tokens."""
+        read = tokens(texts)
+        found, offsets, n = read.classes, read.offsets, len(read.classes)
+        two, one = _before(found)
         code = (two * _CLASSES + one) * _CLASSES + found
         at = np.minimum(np.searchsorted(self.trigrams, code), max(0, len(self.trigrams) - 1))
         bits = np.where(self.trigrams[at] == code, self.bits[at], self.back[one, found] + 1.0) if len(self.trigrams) else self.back[one, found]
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         within = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-        stretch = np.concatenate([[0], np.cumsum((within[1:] % _STRETCH == 0) | (owner[1:] != owner[:-1]))]) if n else np.zeros(0, dtype=np.int64)
+        stretch = np.cumsum(within % _STRETCH == 0) - 1
         count = int(stretch[-1]) + 1 if n else 0
-        tokens = np.bincount(stretch, minlength=count)
-        is_word = (found < _PUNCT) & (found != _LINE) | np.isin(found, [_PUNCT + ord(c) % (_CLASSES - _PUNCT) for c in (_LINK, _TAG, _MARKUP)])
-        first = np.searchsorted(stretch, np.arange(count))
-        words, function = np.bincount(stretch, is_word, count), np.bincount(stretch, found < _SHAPE, count)
-        return np.bincount(stretch, bits, count) / np.maximum(tokens, 1), words, function, owner[first] if n else np.zeros(0, dtype=np.int64)
+        per = [np.bincount(stretch, read.script == k, count) for k in range(_SCRIPTS)]
+        script = np.where(per[1] + per[2] > per[0] / 2, np.where(per[2] > per[1], 2, 1), 0)
+        words, function = np.bincount(stretch, read.script >= 0, count), np.bincount(stretch, found < _SHAPE, count)
+        return np.bincount(stretch, bits, count) / np.maximum(np.bincount(stretch, minlength=count), 1), words, function, script, owner[np.searchsorted(stretch, np.arange(count))] if n else owner
 
-    def abnormal(self, texts: list[str | None]) -> np.ndarray:
-        """Share of each text's words that lie in abnormal stretches; 0 for a text without words."""
-        bits, words, function, owner = self.stretches(texts)
-        odd = (bits < self.low) | (bits > self.high) | (function * _FEW <= words)
-        total = np.bincount(owner, words, len(texts))
-        return np.bincount(owner, words * odd, len(texts)) / np.maximum(total, 1)
+    def abnormal(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each text's words that lie in abnormal stretches, and its bits a word; 0 for a text without words."""
+        bits, words, function, script, owner = self.stretches(texts)
+        odd = ((bits > self.high[script]) | (bits < self.low[script])) & (function * _FEW <= words)
+        total = np.maximum(np.bincount(owner, words, len(texts)), 1)
+        return np.bincount(owner, words * odd, len(texts)) / total, np.bincount(owner, words * bits, len(texts)) / total
+
+
+def _surprise(codes: np.ndarray, n: np.ndarray, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the trigrams and of all pairs by their counts, each made smaller by `less`."""
+    pairs = np.bincount(codes % (_CLASSES * _CLASSES), n, _CLASSES * _CLASSES).reshape(_CLASSES, _CLASSES)
+    single = pairs.sum(axis=0)
+    smooth = (single + 0.5) / (single.sum() + 0.5 * _CLASSES)
+    given_one = (np.maximum(pairs - less, 0.0) + 2.0 * smooth[None, :]) / (pairs.sum(axis=1, keepdims=True) + 2.0)
+    before = np.bincount(codes // _CLASSES, n, _CLASSES * _CLASSES)
+    given_two = (np.maximum(n - less, 0.0) + 2.0 * given_one.ravel()[codes % (_CLASSES * _CLASSES)]) / (before[codes // _CLASSES] + 2.0)
+    return -np.log2(given_two), -np.log2(given_one)
 
 
 def train(prose: DataFrame) -> Model:
     """The model of prose(text), counted over all of its rows.
 
-    Two passes: class trigrams, and the spread of the scores, whose 5 % and
-    95 % points bound the band.  The driver gets a bounded number of the most
-    frequent trigrams and one histogram.
+    Two passes: class trigrams, and the spread of the scores by kind of script,
+    which bounds the band.  The driver gets a bounded number of the most
+    frequent trigrams and one histogram a script.  A script that prose does
+    not have has an unbounded band.
     """
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, _ = classes(string_values(batch.column(0)))
-            two, one = np.concatenate([[_LINE, _LINE], found[:-2]])[: len(found)], np.concatenate([[_LINE], found[:-1]])[: len(found)]
+            found = tokens(string_values(batch.column(0))).classes
+            two, one = _before(found)
             codes, n = np.unique((two * _CLASSES + one) * _CLASSES + found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
@@ -168,120 +236,36 @@ def train(prose: DataFrame) -> Model:
     codes, n = rows["code"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.float64)
     order = np.argsort(codes)
     codes, n = codes[order], n[order]
-    pairs = np.bincount(codes % (_CLASSES * _CLASSES), n, _CLASSES * _CLASSES).reshape(_CLASSES, _CLASSES)
-    single = pairs.sum(axis=0)
-    smooth = (single + 0.5) / (single.sum() + 0.5 * _CLASSES)
-    given_one = (pairs + 2.0 * smooth[None, :]) / (pairs.sum(axis=1, keepdims=True) + 2.0)
-    before = np.bincount(codes // _CLASSES, n, _CLASSES * _CLASSES)
-    given_two = (n + 2.0 * given_one.ravel()[codes % (_CLASSES * _CLASSES)]) / (before[codes // _CLASSES] + 2.0)
-    model = Model(codes, -np.log2(given_two), -np.log2(given_one))
-    shared = prose.sparkSession.sparkContext.broadcast(model)
+    trigram_bits, pair_bits = _surprise(codes, n)
+    nowhere = np.zeros(_SCRIPTS)
+    # prose is scored as if each of its trigrams had not been counted itself, as pages were not
+    shared = prose.sparkSession.sparkContext.broadcast(Model(codes, *_surprise(codes, n, 1.0), nowhere, nowhere + np.inf))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, size, _, _ = shared.value.stretches(string_values(batch.column(0)))
-            bins, n = np.unique(np.minimum(bits[size > 0] / _BIN_WIDTH, _BINS - 1).astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["bin", "n"])
-
-    seen = prose.select("text").mapInArrow(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    histogram = np.zeros(_BINS)
-    histogram[seen["bin"].to_numpy().astype(np.int64)] = seen["n"].to_numpy()
-    share = np.cumsum(histogram) / max(1.0, histogram.sum())
-    low, high = (float(np.searchsorted(share, q) + k) * _BIN_WIDTH for q, k in ((0.05, 0), (0.95, 1)))
-    return Model(codes, model.bits, model.back, low, high)
-
-
-# What spam is made of.  An item of a list is a piece between separators.
-_URL = regex.compile(r"(?:https?://|www\.)\S+")
-_ANCHOR = regex.compile(r"<a\s[^<>]*>.{0,200}?</a>", regex.S | regex.I)
-_BRACKET_LINK = regex.compile(r"!?\[[^\[\]\n]{0,200}\]\([^()\s]{1,400}\)")
-_HASH = regex.compile(r"(?<!\w)#\w{2,}")
-_HTML = regex.compile(r"<[^<>]{1,400}>")
-_SEPARATOR = regex.compile(r"\s[>|/•·»—–]\s|[;\n]|,\s")
-_NAVIGATION = regex.compile(r"\s[>|•·»]\s")
-_PRICE = regex.compile(r"\b\d+(?:[.,]\d{2})?\s?(?:EUR|USD|GBP|CHF|€|\$|£)|[€$£]\s?\d+|\b\d+\.\d{2}\b(?=\s*(?:$|[/|;·•]))")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_'’-]+")
-_LABEL = regex.compile(r"^\s*(?:tags?|keywords?|labels?|topics?)\s*:", regex.I)
-
-
-def _words(text: str) -> int:
-    return len(text.split())
-
-
-def spam_share(text: str) -> float:
-    """Share of a text's words that are links, tags, offers, labels or repeated keywords.
-
-    A line is judged as a whole if it is a list of such items; in others only
-    links and tags count.  Keywords are phrases of three words that come at
-    least three times and have little between them.
-    """
-    text = _ANCHOR.sub(lambda m: f" {_LINK} " * max(1, _words(_HTML.sub(" ", m[0]))), text)
-    text = _BRACKET_LINK.sub(lambda m: f" {_LINK} " * max(1, len(_WORD.findall(m[0].split("](")[0]))), text)
-    total, spam = 0, 0.0
-    plain: list[list[str]] = []
-    for line in text.split("\n"):
-        size = _words(line)
-        if not size:
-            continue
-        total += size
-        links = line.count(_LINK) + len(_URL.findall(line)) + len(_HASH.findall(line))
-        if links:
-            rest = len(_WORD.findall(_HASH.sub(" ", _URL.sub(" ", line.replace(_LINK, " ")))))
-            spam += size if rest <= 4 * links and (rest <= 6 or links > 2) else links
-            continue
-        words = [w.lower() for w in _WORD.findall(line)]
-        common = sum(w in _COMMON for w in words)
-        if len(_PRICE.findall(line)) * 9 >= size and common * 10 <= size:
-            spam += size
-            continue
-        items = [x.strip().lower() for x in _SEPARATOR.split(line) if x.strip()]
-        short = sum(_words(x) <= 4 for x in items)
-        if len(items) >= 6 and short * 5 >= len(items) * 4 and common * 10 <= size and len(set(items)) * 10 <= len(items) * 7:
-            spam += size
-            continue
-        labels = _NAVIGATION.split(line)
-        if len(labels) >= 4 and sum(_words(x) <= 4 for x in labels) * 5 >= len(labels) * 4:
-            spam += size
-            continue
-        if _LABEL.match(line) and len(items) >= 5:
-            spam += size
-            continue
-        plain.append(words)
-    return (spam + _repeated(plain)) / total if total else 0.0
-
-
-def _repeated(lines: list[list[str]]) -> int:
-    """Words of the lines that are mostly repeated keyword phrases.
-
-    A phrase is three words in a row without a function word that come again
-    and again.  Prose repeats phrases too, but they don't fill a line.
-    """
-    counts: dict[tuple[str, ...], int] = {}
-    for words in lines:
-        for k in range(len(words) - 2):
-            phrase = tuple(words[k : k + 3])
-            if not _COMMON.intersection(phrase):
-                counts[phrase] = counts.get(phrase, 0) + 1
-    covered = 0
-    for words in lines:
-        mine = [False] * len(words)
-        for k in range(len(words) - 2):
-            if counts.get(tuple(words[k : k + 3]), 0) >= 3:
-                mine[k : k + 3] = [True] * 3
-        if sum(mine) > _FILLED * len(words):
-            covered += len(words)
-    return covered
-
-
-def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Model, least_abnormal: float = 0.3, least_share: float = 0.5) -> DataFrame:
-    """(id, abnormal, share) of the pages that are spam.
-
-    `abnormal` is the share of words in stretches whose perplexity under the
-    model lies outside the band of prose or that hardly have
-    a function word; pages that reach `least_abnormal` are
-    examined, and those of which more than `least_share` of the words are links,
-    tags, offers, labels or repeated keywords come out.  Null, empty and blank
-    texts are none.  Repeated rows come out each.  Other columns are not read.
+            bits, words, _, script, _ = shared.value.stretches(string_values(batch.column(0)))
+            cell = np.minimum(bits / _BIN_WIDTH, _BINS - 1).astype(np.int64) + script * _BINS
+            cells, n = np.unique(cell[words > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    seen = prose.select("text").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    histogram = np.zeros(_SCRIPTS * _BINS)
+    histogram[seen["cell"].to_numpy().astype(np.int64)] = seen["n"].to_numpy()
+    low, high = nowhere.copy(), nowhere + np.inf
+    for k, part in enumerate(histogram.reshape(_SCRIPTS, _BINS)):
+        if part.sum():
+            share = np.cumsum(part) / part.sum()
+            low[k], high[k] = np.searchsorted(share, _LOWEST) * _BIN_WIDTH, (np.searchsorted(share, _HIGHEST) + 1) * _BIN_WIDTH
+    return Model(codes, trigram_bits, pair_bits, low, high)
+
+
+def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Model, least_share: float = 0.5) -> DataFrame:
+    """(id, abnormal, bits) of the pages that are spam.
+
+    `abnormal` is the share of a page's words in abnormal stretches, which
+    exceeds `least_share`, and `bits` their mean surprise, the logarithm of the
+    perplexity.  Null, empty and blank texts are none.  Repeated rows come out
+    each.  Other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull())
@@ -289,10 +273,8 @@ def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = string_values(batch.column(1))
-            odd = shared.value.abnormal(texts)
-            rows = [(k, odd[k], s) for k in np.flatnonzero(odd >= least_abnormal).tolist() if (s := spam_share(texts[k] or "")) > least_share]
-            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], pa.float64()) for k in (1, 2))], names=["id", "abnormal", "share"])
+            share, bits = shared.value.abnormal(string_values(batch.column(1)))
+            keep = pa.array(share > least_share)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(share).filter(keep), pa.array(bits).filter(keep)], names=["id", "abnormal", "bits"])
 
-    return source.mapInArrow(run, f"id {kind}, abnormal double, share double").withColumnRenamed("id", id_column)
+    return source.mapInArrow(run, f"id {kind}, abnormal double, bits double").withColumnRenamed("id", id_column)
