@@ -31,7 +31,8 @@ _NEAR = 4  # a bucket of more than one beyond it is crowded
 _BLOCK_PAIRS = 1 << 20  # pairs of a bucket that are compared at once
 _SYMBOLS = 5  # of a fingerprint
 _DEVIATIONS = 4.5  # below the expected agreement of symbols at which a pair is dropped
-_PART_ENTRIES = 2_000_000  # of variants that a task sorts at once
+_KEY_BYTES = 6  # of a variant; keys that fall together only make candidates that fail later
+_PART_ENTRIES = 1_000_000  # of variants that a task sorts at once
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def _variants(fp: pa.Array, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             for k in range(_SYMBOLS):
                 if k != masked:
                     key = mix(key ^ symbols[:, p, k]) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(mix(key ^ within))
+            out.append(mix(key ^ within) >> np.uint64(64 - 8 * _KEY_BYTES))
     return np.concatenate(out), np.tile(np.arange(n), len(out))
 
 
@@ -109,16 +110,19 @@ def _bucket_pairs(bucket: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, n
     return left[new], right[new]
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers by planes of their bytes, compressed."""
-    return pa.compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), "zstd", asbytes=True)
+def _pack(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
+    """Columns of 64-bit numbers by planes of their lower bytes, compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, widths, strict=True)]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, widths: tuple[int, ...]) -> list[np.ndarray]:
     flat = np.frombuffer(pa.decompress(data, n * sum(widths), "zstd", asbytes=True), dtype=np.uint8)
     out, at = [], 0
     for width in widths:
-        out.append(np.ascontiguousarray(flat[at : at + n * width].reshape(width, n).T).view(f"<u{width}").ravel())
+        rows = np.zeros((n, 8), dtype=np.uint8)
+        rows[:, :width] = flat[at : at + n * width].reshape(width, n).T
+        out.append(rows.view(np.uint64).ravel())
         at += n * width
     return out
 
@@ -156,12 +160,12 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             part, keys, members = part[order].astype(np.int32), keys[order], members[order]
             cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
-            out = [(int(part[x]), 0, int(y - x), _pack((keys[x:y]), members[x:y])) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            out = [(int(part[x]), 0, int(y - x), _pack([keys[x:y], members[x:y]], (_KEY_BYTES, 8))) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             if len(a):
-                out.append((int(a[0] % parts), 1, len(a), _pack(a, b)))
+                out.append((int(a[0] % parts), 1, len(a), _pack([a, b], (8, 8))))
             if marked.any():
                 crowded = np.unique(keys[marked[order]])
-                out.append((int(crowded[0] % np.uint64(parts)), 2, len(crowded), _pack(crowded)))
+                out.append((int(crowded[0] % np.uint64(parts)), 2, len(crowded), _pack([crowded], (_KEY_BYTES,))))
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "kind", "n", "data"])
 
@@ -183,12 +187,12 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
                     a, b = _unpack(data, n, (8, 8))
                     yield _pairs(a.view(np.int64), b.view(np.int64))
                 elif kind == 2:
-                    yield _pairs(_unpack(data, n, (8,))[0].view(np.int64), None)
+                    yield _pairs(_unpack(data, n, (_KEY_BYTES,))[0].view(np.int64), None)
                 else:
                     if part != here:
                         yield from done()
                         here, held = part, []
-                    held.append(_unpack(data, n, (8, 8)))
+                    held.append(_unpack(data, n, (_KEY_BYTES, 8)))
         yield from done()
 
     rows = texts.select("id", "fp", "within").mapInArrow(local, "part int, kind int, n int, data binary")
