@@ -260,9 +260,9 @@ def train(prose: DataFrame) -> Model:
 
 
 def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Model, least_share: float = 0.5) -> DataFrame:
-    """(id, abnormal, bits) of the pages that are spam.
+    """(id, share, bits) of the pages that are spam.
 
-    `abnormal` is the share of a page's words in abnormal stretches, which
+    `share` is that of the words in abnormal stretches, which
     exceeds `least_share`, and `bits` their mean surprise, the logarithm of the
     perplexity.  Null, empty and blank texts are none.  Repeated rows come out
     each.  Other columns are not read.
@@ -275,6 +275,6 @@ def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Mo
         for batch in batches:
             share, bits = shared.value.abnormal(string_values(batch.column(1)))
             keep = pa.array(share > least_share)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(share).filter(keep), pa.array(bits).filter(keep)], names=["id", "abnormal", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(share).filter(keep), pa.array(bits).filter(keep)], names=["id", "share", "bits"])
 
-    return source.mapInArrow(run, f"id {kind}, abnormal double, bits double").withColumnRenamed("id", id_column)
+    return source.mapInArrow(run, f"id {kind}, share double, bits double").withColumnRenamed("id", id_column)
