@@ -7,23 +7,27 @@ of equals), so each depends only on the characters near its anchor and ranges
 of one text can be searched apart.  The step, the window and the overlap add up
 to the limit, which bounds every piece.
 
-A file is never loaded whole: workers count the characters of byte ranges,
-lengths are added up, workers find the cuts of each range (reading a halo
-before it), the tables of cuts are stitched, and pieces are read by offset.
+Nothing is loaded whole: workers count the characters of byte ranges, lengths
+are added up, workers find the cuts of each range (reading a halo before it),
+the tables of the ranges are stitched, and pieces are read by offset.  Values of
+a table are written to files first, as one stream of bytes each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow.llm.tokens import code_points, word_table
+from quireflow.session import checkpointed, ensure_checkpoint_dir
 
 KINDS = ("anywhere", "word", "sentence", "line", "paragraph", "end")
 # Marks that end sentences, and marks that may follow them.
@@ -140,30 +144,21 @@ def _is_mark(point: int) -> bool:
     return unicodedata.category(chr(point))[0] == "M"
 
 
-_RANGE = 1 << 16  # anchors of a long text are searched in ranges of about this many code points
-_HALO = 256  # context before the first window of a range
-
-
 def split_points(points: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and kind of end of the pieces of one text."""
-    n, anchors = len(points), plan.anchors(len(points))
-    places, kinds = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int8)]
-    each = max(1, _RANGE // plan.step)
-    for first in range(1, anchors + 1, each):
-        last = min(anchors, first + each - 1)
-        low = max(0, first * plan.step - plan.window - _HALO)
-        p, k = cuts(points[low : last * plan.step + 1], low, plan, first, last)
-        places.append(p)
-        kinds.append(k)
-    ends = np.append(np.concatenate(places)[1:], n)
-    starts = np.maximum(np.concatenate(places) - plan.overlap, 0)
-    return starts, ends, np.append(np.concatenate(kinds), len(KINDS) - 1)
+    """Start, end and kind of end of the pieces of one text that is held whole, as tests compare it."""
+    anchors = plan.anchors(len(points))
+    places, kinds = cuts(points, 0, plan, 1, anchors)
+    ends = np.append(places, len(points))
+    starts = np.maximum(np.concatenate([[0], places]) - plan.overlap, 0)
+    return starts, ends, np.append(kinds, len(KINDS) - 1)
 
 
 _PIECES = "piece int, n_pieces int, start_pos long, end_pos long, repeated long, boundary string, text string"
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+RANGE_BYTES = 4 << 20
 
 
-def split_texts(df: DataFrame, id_column: str, text_column: str, limit: int, overlap: int | None = None, window: int | None = None) -> DataFrame:
+def split_texts(df: DataFrame, id_column: str, text_column: str, limit: int, overlap: int | None = None, window: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(id, piece, n_pieces, start_pos, end_pos, repeated, boundary, text): every text's pieces in order.
 
     No piece has more than `limit` code points; the first `repeated` of a
@@ -172,29 +167,14 @@ def split_texts(df: DataFrame, id_column: str, text_column: str, limit: int, ove
     the text is whole.  boundary tells what the piece ends with.  A text
     within the limit, also an empty one, is one piece; a null text has none.
     Repeated rows and ids are kept; other columns are not read.
+
+    Texts of more bytes than the limit are written one after another to files
+    in the shared checkpoint folder, and are cut there by byte ranges.
     """
     plan = Plan.of(limit, overlap, window)
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull())
-    kind = rows.schema[0].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, columns = [], [[] for _ in range(7)]
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                points = code_points(text)
-                starts, ends, kinds = split_points(points, plan)
-                n = len(starts)
-                ids.append(np.full(n, k))
-                before = np.concatenate([[0], ends[:-1]])
-                for column, values in zip(columns, (range(n), [n] * n, starts.tolist(), ends.tolist(), (before - starts).tolist(), [KINDS[x] for x in kinds.tolist()], [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), strict=True):
-                    column.extend(values)
-            if ids:
-                arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                names = ["id", *(x.split()[0] for x in _PIECES.split(", "))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *arrays], names=names)
-
-    short = rows.where(F.length("text") <= limit).select(
-        "id",
+    rows = df.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).where(F.col("text").isNotNull())
+    short = rows.where(F.octet_length("text") <= limit).select(
+        "key",
         F.lit(0).alias("piece"),
         F.lit(1).alias("n_pieces"),
         F.lit(0).cast("long").alias("start_pos"),
@@ -203,106 +183,184 @@ def split_texts(df: DataFrame, id_column: str, text_column: str, limit: int, ove
         F.lit(KINDS[-1]).alias("boundary"),
         "text",
     )
-    long = rows.where(F.length("text") > limit).mapInArrow(run, f"id {kind}, {_PIECES}")
-    return short.union(long).withColumnRenamed("id", id_column)
+    streams = _exported(rows.where(F.octet_length("text") > limit))
+    return short.union(split_streams(streams, plan, range_bytes)).withColumnRenamed("key", id_column)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int | None = None, window: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int | None = None, window: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, piece, n_pieces, start_pos, end_pos, repeated, boundary, text) of giant UTF-8 files.
 
-    As split_texts, but a worker only reads byte ranges: once to count code
-    points, once with a halo to find cuts, once for the pieces themselves.
-    Bytes that aren't UTF-8 become replacement characters.  Paths are URIs or
-    local paths that every executor can read.  An empty file is one empty
-    piece; a file named twice comes out once.
+    As split_texts.  Bytes that aren't UTF-8 become replacement characters.
+    Paths are URIs or local paths that every executor can read.  An empty file
+    is one empty piece; a file named twice comes out once.
     """
-    plan = Plan.of(limit, overlap, window)
-    halo = 4 * (plan.window + _HALO + plan.overlap + plan.limit)
-    sizes = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string").repartition(max(1, min(len(paths), 1000)))
-    sized = sizes.mapInArrow(_sizes, "path string, bytes long")
-    ranges = sized.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("low"))
-    ranges = ranges.withColumn("high", F.least("bytes", F.col("low") + range_bytes)).repartition(F.col("path"), F.col("low"))
-    counted = ranges.mapInArrow(_counts, "path string, bytes long, low long, high long, points long")
-    order = Window.partitionBy("path").orderBy("low")
-    placed = counted.withColumns({"at": F.sum("points").over(order) - F.col("points"), "length": F.sum("points").over(Window.partitionBy("path"))})
+    names = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string").repartition(max(1, min(len(paths), 1000)))
+    sized = names.mapInArrow(_sizes, "path string, bytes long")
+    streams = sized.select(F.col("path").alias("key"), "path", F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))
+    return split_streams(streams, Plan.of(limit, overlap, window), range_bytes).withColumnRenamed("key", "path")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                first, last = max(1, -(-row["at"] // plan.step)), min(plan.anchors(row["length"]), (row["at"] + row["points"] - 1) // plan.step)
-                names = ["path", "length", "k", "cut", "cut_byte", "kind"]
-                head = [(row["path"], row["length"], 0, 0, 0, 0)] if row["low"] == 0 else []
-                if first <= last:
-                    low = max(0, row["low"] - halo)
-                    text, before = _read(row["path"], low, row["high"], row["low"])
-                    points = code_points(text)
-                    offset = row["at"] - before
-                    widths = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
-                    found, kinds = cuts(points, offset, plan, first, last)
-                    start = low + _lead(row["path"], low)
-                    head += [(row["path"], row["length"], k, c, start + int(widths[c - offset]), int(t)) for k, c, t in zip(range(first, last + 1), found.tolist(), kinds.tolist(), strict=True)]
-                if head:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*head, strict=True)], names=names)
-
-    table = placed.mapInArrow(search, "path string, length long, k long, cut long, cut_byte long, kind long")
-    along = Window.partitionBy("path").orderBy("k")
-    stitched = table.join(sized, "path").withColumns(
-        {
-            "end_pos": F.coalesce(F.lead("cut").over(along), "length"),
-            "end_byte": F.coalesce(F.lead("cut_byte").over(along), "bytes"),
-            "end_kind": F.coalesce(F.lead("kind").over(along), F.lit(len(KINDS) - 1)),
-            "n_pieces": F.count(F.lit(1)).over(Window.partitionBy("path")),
-        }
-    )
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exported(rows: DataFrame) -> DataFrame:
+    """(key, path, low, high) of rows (key, text) written as UTF-8 to files, each task its own, in the shared folder."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams-{uuid.uuid4()}"
+    kind = rows.schema[0].dataType.simpleString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # another attempt of the task writes another file
+        path = f"{folder}/{uuid.uuid4()}"
+        system, name = _open(path)
+        file, at = None, 0
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                low = max(0, row["cut_byte"] - 4 * plan.overlap)
-                text, before = _read(row["path"], low, row["end_byte"], row["cut_byte"])
-                repeated = min(plan.overlap, row["cut"], before)
-                rows.append((row["path"], row["k"], row["n_pieces"], row["cut"] - repeated, row["end_pos"], repeated, KINDS[row["end_kind"]], text[before - repeated :]))
-            if rows:
-                types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["path", *(x.split()[0] for x in _PIECES.split(", "))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            texts = batch.column(1).cast(pa.large_binary())
+            sizes = pc.binary_length(texts).to_numpy()
+            if file is None and len(sizes):
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                file = system.open_output_stream(name)
+            for text in texts:
+                file.write(text.as_buffer())
+            ends = at + np.cumsum(sizes)
+            at = int(ends[-1]) if len(ends) else at
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([path] * len(sizes), pa.string()), pa.array(ends - sizes, pa.int64()), pa.array(ends, pa.int64())], names=["key", "path", "low", "high"])
+        if file is not None:
+            file.close()
+
+    return checkpointed(rows.mapInArrow(write, f"key {kind}, path string, low long, high long"))
+
+
+def split_streams(streams: DataFrame, plan: Plan, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Pieces of streams (key, path, low, high), each the bytes from low to high of a file.
+
+    Workers count the code points of byte ranges, and lengths are added up by
+    stream.  Workers then look for cuts in each range, reading a halo before
+    it that reaches back to a letter, so that the cuts are those of the whole
+    text; the first cut of a range ends the last piece of the one before,
+    which is all that the tables of neighbouring ranges are stitched by.  Each
+    range then emits the pieces that begin in it, by offset, with one open.
+    """
+    kind = streams.schema["key"].dataType.simpleString()
+    ranges = streams.withColumn("a", F.explode(F.expr(f"sequence(low, greatest(high - 1, low), {range_bytes}L)")))
+    ranges = ranges.withColumn("b", F.least("high", F.col("a") + range_bytes)).repartition("path", "a")
+    counted = ranges.mapInArrow(_counts, f"key {kind}, {_RANGE}, points long")
+    along = Window.partitionBy("path", "low").orderBy("a")
+    placed = counted.withColumns({"at": F.sum("points").over(along) - F.col("points"), "length": F.sum("points").over(Window.partitionBy("path", "low"))})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _Reader() as reader:
+            for batch in batches:
+                found = [_range_cuts(reader, row, plan) for row in _rows(batch)]
+                firsts = [[(x[k][0] if len(x[0]) else None) for x in found] for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in firsts)], names=[*batch.schema.names, "cut", "cut_byte", "cut_kind"])
+
+    spread = placed.repartition("path", "a")
+    searched = spread.mapInArrow(search, f"key {kind}, {_RANGE}, points long, at long, length long, cut long, cut_byte long, cut_kind long")
+    after = along.rowsBetween(1, Window.unboundedFollowing)
+    stitched = searched.withColumns({f"next_{c}": F.first(c, ignorenulls=True).over(after) for c in ("cut", "cut_byte", "cut_kind")}).where("cut is not null")
 
-    return stitched.repartition(F.col("path"), F.col("k")).mapInArrow(emit, f"path string, {_PIECES}")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _Reader() as reader:
+            for batch in batches:
+                for i, row in enumerate(_rows(batch)):
+                    pieces = list(_range_pieces(reader, row, plan))
+                    keys = batch.column(0).take(pa.array(np.full(len(pieces), i)))
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(list(x), t) for x, t in zip(zip(*pieces, strict=True), _TYPES, strict=True))], names=["key", *(x.split()[0] for x in _PIECES.split(", "))])
+
+    return stitched.repartition("path", "a").mapInArrow(emit, f"key {kind}, {_PIECES}")
+
+
+_RANGE = "path string, low long, high long, a long, b long"
+
+
+def _rows(batch: pa.RecordBatch) -> list[dict]:
+    """The rows of a batch without their key, which may be of any type."""
+    return batch.select([n for n in batch.schema.names if n != "key"]).to_pylist()
+
+
+def _range_cuts(reader: _Reader, row: dict, plan: Plan) -> tuple[list[int], list[int], list[int]]:
+    """Places, bytes and kinds of the cuts whose anchors lie in a range; the stream's start is one."""
+    first = max(1, -(-row["at"] // plan.step))
+    last = min(plan.anchors(row["length"]), (row["at"] + row["points"] - 1) // plan.step)
+    head: tuple[list[int], list[int], list[int]] = ([0], [row["low"]], [0]) if row["a"] == row["low"] else ([], [], [])
+    if first > last:
+        return head
+    need, halo = plan.window + 2, 4 * (plan.window + 64)
+    while True:
+        start = max(row["low"], row["a"] - halo)
+        text, before = reader.text(row, start, row["b"], row["a"])
+        points = code_points(text)
+        # the first window begins so many code points after the range's start
+        begin = before + first * plan.step - row["at"] - need
+        if start == row["low"] or (begin > 2 and _context(points[:begin])):
+            break
+        halo *= 2
+    offset = row["at"] - before
+    found, kinds = cuts(points, offset, plan, first, last)
+    widths = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)])
+    begins = reader.aligned(row, start) + widths[found - offset]
+    return head[0] + found.tolist(), head[1] + begins.tolist(), head[2] + kinds.tolist()
+
+
+def _context(points: np.ndarray) -> bool:
+    """Whether a letter or number, which isn't part of a line mark, lies in the points: nothing before it bears on what comes after."""
+    solid = word_table()[points[1:]] & ~((points[:-1] == 0x2F) & (points[1:] == ord("n")))
+    return bool(solid[1:].any())
+
+
+def _range_pieces(reader: _Reader, row: dict, plan: Plan) -> Iterator[tuple]:
+    """The pieces that begin at the cuts of a range, up to the next range's first cut."""
+    places, begins, kinds = _range_cuts(reader, row, plan)
+    ends = [*places[1:], row["length"] if row["next_cut"] is None else row["next_cut"]]
+    stop = row["high"] if row["next_cut"] is None else row["next_cut_byte"]
+    closing = [*kinds[1:], len(KINDS) - 1 if row["next_cut"] is None else row["next_cut_kind"]]
+    start = max(row["low"], begins[0] - 4 * plan.overlap)
+    text, before = reader.text(row, start, stop, begins[0])
+    offset = places[0] - before
+    first = -(-row["at"] // plan.step) if row["a"] != row["low"] else 0
+    total = plan.anchors(row["length"]) + 1
+    for k, (cut, end, kind) in enumerate(zip(places, ends, closing, strict=True)):
+        repeated = min(plan.overlap, cut)
+        yield first + k, total, cut - repeated, end, repeated, KINDS[kind], text[cut - repeated - offset : end - offset]
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _bytes(path: str, low: int, high: int) -> bytes:
-    system, name = _open(path)
-    with system.open_input_file(name) as file:
-        return file.read_at(high - low, low) if high > low else b""
+class _Reader:
+    """Reads byte ranges; keeps the last file open."""
 
+    def __init__(self) -> None:
+        self.path: str | None = None
+        self.file: pa.NativeFile | None = None
 
-def _lead(path: str, low: int) -> int:
-    """Continuation bytes at `low`, which belong to the character before."""
-    lead = 0
-    for b in _bytes(path, low, low + 3) if low else b"":
-        if b & 0xC0 != 0x80:
-            break
-        lead += 1
-    return lead
+    def __enter__(self) -> _Reader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.file is not None:
+            self.file.close()
 
+    def bytes(self, path: str, low: int, high: int) -> bytes:
+        if path != self.path:
+            self.__exit__()
+            system, name = _open(path)
+            self.path, self.file = path, system.open_input_file(name)
+        return self.file.read_at(high - low, low) if high > low else b""
 
-def _read(path: str, low: int, high: int, middle: int) -> tuple[str, int]:
-    """The characters that start in [low, high), and how many of them start before `middle`."""
-    data = _bytes(path, low, high + 3)
-    lead = _lead(path, low)
-    stop = high - low
-    while stop < len(data) and data[stop] & 0xC0 == 0x80:
-        stop += 1
-    cut = middle - low
-    while cut < stop and data[cut] & 0xC0 == 0x80:
-        cut += 1
-    before = data[lead : max(lead, cut)].decode("utf-8", "replace")
-    return before + data[max(lead, cut) : stop].decode("utf-8", "replace"), len(before)
+    def aligned(self, row: dict, at: int) -> int:
+        """The first byte from `at` on that begins a character of the stream."""
+        if at == row["low"]:
+            return at
+        data = self.bytes(row["path"], at, min(row["high"], at + 3))
+        return at + next((k for k, b in enumerate(data) if b & 0xC0 != 0x80), len(data))
+
+    def text(self, row: dict, low: int, high: int, middle: int) -> tuple[str, int]:
+        """The characters that start in [low, high), and how many of them start before `middle`."""
+        low, middle, high = self.aligned(row, low), self.aligned(row, middle), self.aligned(row, high) if high < row["high"] else high
+        data = self.bytes(row["path"], low, high)
+        before = data[: middle - low].decode("utf-8", "replace")
+        return before + data[middle - low :].decode("utf-8", "replace"), len(before)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +370,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        points = [len(_read(r["path"], r["low"], r["high"], r["low"])[0]) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points, pa.int64())], names=["path", "bytes", "low", "high", "points"])
+    with _Reader() as reader:
+        for batch in batches:
+            points = [len(reader.text(r, r["a"], r["b"], r["a"])[0]) for r in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points, pa.int64())], names=[*batch.schema.names, "points"])
