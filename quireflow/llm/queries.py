@@ -51,7 +51,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     papers = table(spark, folder, "dataset_info").where(F.col("split") == "validation")
     out = None
     for rows, name, column in ((papers, "dataset_info", "article"), (table(spark, folder, "rulebase_chunkforpdf"), "rulebase_chunkforpdf", "text")):
-        part = sentence_rows(rows, "row_id", column).select(F.lit(f"{name}.{column}").alias("field"), "row_id", "end_pos")
+        part = sentence_rows(rows, "row_id", column, texts=False).select(F.lit(f"{name}.{column}").alias("field"), "row_id", "end_pos")
         out = part if out is None else out.union(part)
     return out
 

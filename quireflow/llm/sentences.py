@@ -2,10 +2,11 @@
 
 Characters that look like ends but aren't (decimals, URLs, initials,
 abbreviations, list numbers, ends inside quotes and brackets) are masked with
-private-use placeholders of the same length, ends are marked by expressions for
-the scripts with spaces, those without and those without end marks, and the
-marked text is split.  Masks change no position, so each unit is cut from the
-original text, which restores it.
+private-use placeholders, one for each masked character; ends are marked by
+expressions for the scripts with spaces, those without and those without end
+marks, the marked text is split, and units are restored from the placeholders.
+Masks change no position.  Nothing is bounded by a length, and the work follows
+the length of the text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DOT, _END, _GREEK = "\ue000", "\ue0ff", "\ue010"  # a masked end, the mark after a unit, a Greek question mark
+# Placeholders of masked ends, the Greek question marks, the mark after a unit and those around a quoted or bracketed span.
+_MASKED = {c: chr(0xE000 + k) for k, c in enumerate(".!?…。！？｡．")}
+_QUESTION = {";": "\ue010", "\u037e": "\ue011"}
+_DOT, _GREEK = _MASKED["."], "".join(_QUESTION.values())
+_END, _FROM, _TO = "\ue0ff", "\ue0f0", "\ue0f1"
+_OWN = "".join(_MASKED.values()) + _GREEK + _END + _FROM + _TO
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BLOCK = 256  # units whose lengths are added up together
 _LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # Ends of sentences that always end one, and those of scripts written without spaces.
 _SURE = "؟۔।॥።፧፨។៕။"
@@ -53,24 +61,36 @@ def _replace_where(column: Column, where: str, pattern: str, by: str) -> Column:
 
 def _inside(column: Column, opener: str, closer: str, plain: bool = False) -> Column:
     """Mask ends inside a pair; in scripts with spaces the last one before the closing mark stays."""
-    pair = f"{opener}{closer}".replace("]", "\\]").replace("[", "\\[")
-    close = f"\\{closer}" if closer in ")]" else closer
-    closing = f'(?<!\\s){close}(?=[\\s,.;:)]|$)' if plain else (f"(?<=\\S){close}" if closer == "“" else close)
-    column = _replace(column, f"(?U)[.!?…](?=\\s+[^{pair}\\s][^{pair}\\n]{{0,400}}{closing})", _DOT, only_if=closer)
-    if plain or closer == "“":  # which opens a quote in scripts without spaces
-        return column
-    return _replace(column, f"[{_WIDE}…](?=[^{pair}\\n]{{0,400}}{close})", _DOT, only_if=closer)
+    pair = "".join(f"\\{c}" for c in {opener, closer})
+    close = f"\\{closer}"
+    closing = f"(?<!\\s){close}(?=[\\s,.;:)]|$)" if plain else (f"(?<=\\S){close}" if closer == "“" else close)
+    wide = not plain and closer != "“"  # which opens a quote in scripts without spaces
+
+    def mask(span: Column) -> Column:
+        for c, by in list(_MASKED.items())[:4]:
+            span = _replace(span, f"(?U)\\{c}(?=\\s+[^\\s{pair}])", by, only_if=c)
+        others = list(_MASKED)[3:]
+        return F.translate(span, "".join(others), "".join(_MASKED[c] for c in others)) if wide else span
+
+    def parts(text: Column) -> Column:
+        marked = F.regexp_replace(text, f"(?U)\\{opener}[^{pair}\\n]*+{closing}", f"{_FROM}$0{_TO}")
+        spans = F.transform(F.split(marked, _FROM), lambda p: F.when(F.contains(p, F.lit(_TO)), F.concat(mask(F.substring_index(p, _TO, 1)), F.substring_index(p, _TO, -1))).otherwise(p))
+        return F.array_join(spans, "")
+
+    return _let(column, lambda c: F.when(F.contains(c, F.lit(closer)), parts(c)).otherwise(c))
 
 
 def masked(text: Column) -> Column:
     """The text with line ends unified and false ends masked; as long as the text."""
-    out = F.translate(text, _DOT + _END + _GREEK, "�" * 3)
+    out = F.translate(text, _OWN, "�" * len(_OWN))
     out = F.translate(out, _LINE_ENDS, "\n" * len(_LINE_ENDS))
     out = _replace(out, "/n", "\n\n", only_if="/n")
     # decimals, URLs, file names and spelled abbreviations: a letter or digit follows at once
-    out = F.regexp_replace(out, r"(?U)(?<!\p{Ll}{3})\.(?=[\p{Ll}\p{N}_])|\.(?=[\p{Ll}_]|\p{N}+(?!\p{N}|\s\p{Ll}))|[!?](?=[\p{Ll}\p{N}/=&#%])|[.](?=[/=&#%,])", _DOT)
+    out = F.regexp_replace(out, r"(?U)(?<!\p{Ll}{3})\.(?=[\p{Ll}\p{N}_])|\.(?=[\p{Ll}_]|\p{N}+(?!\p{N}|\s\p{Ll}))|[.](?=[/=&#%,])", _DOT)
+    for c in "!?":
+        out = _replace(out, rf"(?U)[{c}](?=[\p{{Ll}}\p{{N}}/=&#%])", _MASKED[c], only_if=c)
     # list and section numbers at the start of a line
-    out = F.regexp_replace(out, rf"(?m)^(\s*(?:[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}})*|[IVXLCDM]{{1,6}}|[A-Za-z]))\.(?=\s)", "$1" + _DOT)
+    out = F.regexp_replace(out, rf"(?m)^([^\S\n]*+(?:[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}})*|[IVXLCDM]{{1,6}}|[A-Za-z]))\.(?=\s)", "$1" + _DOT)
     # single letters: initials and parts of abbreviations, but not units after a number
     out = F.regexp_replace(out, r"(?<![\p{L}\p{M}\p{N}])(?<!\p{N}[\s ])(\p{L})\.", "$1" + _DOT)
     names = "|".join(_ALWAYS)
@@ -81,8 +101,11 @@ def masked(text: Column) -> Column:
     for opener, closer in (("“", "”"), ("«", "»"), ("„", "“"), ("(", ")"), ("（", "）"), ("「", "」"), ("『", "』"), ("《", "》")):
         out = _inside(out, opener, closer)
     out = _inside(out, '"', '"', plain=True)
-    greek = r"(?U)(\p{IsGreek}{2}[^;.!?\n]{0,300})[;;](?=\s*(?:[\p{IsGreek}\p{Lu}«“\n]|$))"
-    return _replace_where(out, r"\p{IsGreek}{2}[^\n]*[;;]", greek, "$1" + _GREEK)
+    # a Greek question mark after Greek letters of the same clause; each clause is read once
+    for c, by in _QUESTION.items():
+        greek = rf"(?U)((?<![^;.!?\n])(?>[^;.!?\n]*?\p{{IsGreek}}{{2}})[^;.!?\n{_QUESTION[';']}\u037e]*+){c}(?=\s*(?:[\p{{IsGreek}}\p{{Lu}}«“\n]|$))"
+        out = _replace_where(out, rf"\p{{IsGreek}}{{2}}[^\n]*{c}", greek, "$1" + by)
+    return out
 
 
 def marked(text: Column) -> Column:
@@ -95,31 +118,45 @@ def marked(text: Column) -> Column:
     missing = r"(?<=[\p{Ll}\p{Lo}\p{M}\p{N})\]”»\"%{G}][.!?…]{1,3}[”»\")]{0,2}|\p{N}\s\p{Lu}\.)(?=\p{Lu}[\p{Ll}\s]|(?<!…)\p{Lo}|[¿¡«„“]|(?<=\p{Ll}\.)\p{N}+\s\p{Ll}|\p{Lu}\p{Lu}+\p{N})".replace("{G}", _GREEK)
     out = F.regexp_replace(out, f"(?U)[.!?…{_GREEK}]++{closers}(?:{later}|{missing})|[{_SURE}]+{closers}", "$0" + _END)
     out = _replace_where(out, f"[{_WIDE}]", f"[{_WIDE}]+[{_CLOSE}]*", "$0" + _END)
-    out = _replace_where(out, f"[{_BARE}]", rf"(?U)(?<=[{_BARE}]\S{{0,20}})(?<!{_END})(?=\s+\S{{0,20}}[{_BARE}])(?<!\s)", _END)
+    # a word of a script without end marks, before another one
+    bare = rf"(?U)((?<!\S)[^\s{_BARE}]*+[{_BARE}]\S*+)(?<!{_END})(?=\s+[^\s{_BARE}]*+[{_BARE}])"
+    out = _replace_where(out, f"[{_BARE}]", bare, "$1" + _END)
     return _replace(out, rf"(?U)([^\s{_END}])(?=\s*\n)(?!\S)", "$1" + _END, only_if="\n")
 
 
-def _ends(units: Column) -> Column:
-    """Running lengths of the units, the first being 0."""
-    start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(units, start, lambda acc, unit: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(unit))))
+def _starts(sizes: Column) -> Column:
+    """The sum of the sizes before each, by blocks, so that a long array isn't copied for each element."""
+    running = lambda start, values: F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    places = lambda n: F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / _BLOCK), F.lit(0)).cast("int"))
+    blocks = _let(sizes, lambda s: F.transform(places(F.size(s)), lambda b: F.slice(s, b * _BLOCK + 1, F.lit(_BLOCK))))
 
+    def summed(parts: Column) -> Column:
+        totals = running(F.lit(0).cast("long"), F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: acc + x)))
+        return _let(totals, lambda t: F.flatten(F.transform(parts, lambda p, b: F.slice(running(F.get(t, b), p), 1, F.size(p)))))
 
-def sentences(text: Column) -> Column:
-    """An array of (start_pos, end_pos) of the text's sentence units, in order; null for a null text.
+    return _let(blocks, summed)
+
+
+def units(text: Column) -> Column:
+    """An array of (unit, start_pos, end_pos) of the text's sentence units, in order; null for a null text.
 
     Positions count code points from 0; end_pos includes closing marks and
     excludes white space.  A line end, also the mark `/n`, ends a unit.  A blank
     text has none.  The units cover every character that isn't white space.
+    Units still have their placeholders.
     """
-    lead, tail = r"(?U)^\s+", r"(?U)\s+$"
 
-    def spans(units: Column) -> Column:
+    def spans(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(p).cast("long"))
         return F.transform(
-            F.arrays_zip(units.alias("unit"), F.slice(_ends(units), 1, F.size(units)).alias("at")),
-            lambda s: F.struct(
-                (s["at"] + F.length(s["unit"]) - F.length(F.regexp_replace(s["unit"], lead, ""))).alias("start_pos"),
-                (s["at"] + F.length(F.regexp_replace(s["unit"], tail, ""))).alias("end_pos"),
+            F.arrays_zip(parts.alias("part"), _starts(sizes).alias("at")),
+            lambda s: _let(
+                F.ltrim(s["part"], F.lit(_SPACES)),
+                lambda left: F.struct(
+                    F.rtrim(left, F.lit(_SPACES)).alias("unit"),
+                    (s["at"] + F.length(s["part"]) - F.length(left)).alias("start_pos"),
+                    (s["at"] + F.length(F.rtrim(s["part"], F.lit(_SPACES)))).alias("end_pos"),
+                ),
             ),
         )
 
@@ -127,18 +164,30 @@ def sentences(text: Column) -> Column:
     return F.when(text.isNotNull(), F.filter(found, lambda s: s["end_pos"] > s["start_pos"]))
 
 
-def sentence_rows(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, position, start_pos, end_pos, sentence), one row for each sentence of every text.
+def sentences(text: Column) -> Column:
+    """An array of (start_pos, end_pos), as units."""
+    return F.transform(units(text), lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos")))
+
+
+def restored(text: Column) -> Column:
+    """An array of (sentence, start_pos, end_pos): the units with what their placeholders stand for.
+
+    The units of a text that itself holds one of the private marks are cut by position.
+    """
+    back = {**_MASKED, **_QUESTION}
+    whole = lambda s: F.translate(s["unit"], "".join(back.values()), "".join(back))
+    cut = lambda s: F.substring(text, (s["start_pos"] + 1).cast("int"), (s["end_pos"] - s["start_pos"]).cast("int"))
+    made = lambda part: lambda s: F.struct(part(s).alias("sentence"), s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"))
+    return _let(units(text), lambda found: F.when(text.rlike(f"[{_OWN}]"), F.transform(found, made(cut))).otherwise(F.transform(found, made(whole))))
+
+
+def sentence_rows(df: DataFrame, id_column: str, text_column: str, texts: bool = True) -> DataFrame:
+    """(id, position, start_pos, end_pos, sentence), one row for each sentence of every text; without `texts` no sentence.
 
     Null and blank texts have no rows; repeated rows come out each.  Other
     columns are not read.
     """
     rows = df.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    out = rows.select("__id", "__text", F.posexplode(sentences(F.col("__text"))).alias("position", "s"))
-    return out.select(
-        F.col("__id").alias(id_column),
-        "position",
-        F.col("s.start_pos").alias("start_pos"),
-        F.col("s.end_pos").alias("end_pos"),
-        F.expr("substring(__text, int(s.start_pos) + 1, int(s.end_pos - s.start_pos))").alias("sentence"),
-    )
+    found = (restored if texts else sentences)(F.col("__text"))
+    out = rows.select("__id", F.posexplode(found).alias("position", "s"))
+    return out.select(F.col("__id").alias(id_column), "position", "s.start_pos", "s.end_pos", *(["s.sentence"] if texts else []))
