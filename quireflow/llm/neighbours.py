@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from quireflow.session import checkpointed
 
-MOST_SAMPLED = 40_000  # vectors the centroids are fitted on, chosen by a hash of their id
-MOST_LISTS = 4096
-_LIST_SIZE = 256  # vectors a list has on average, as far as MOST_LISTS allows
-_BLOCK = 2048  # a larger list is split, and its blocks are probed apart
+MOST_SAMPLED = 400_000  # vectors the centroids are fitted on, chosen by a hash of their id
+MOST_LISTS = 65_536  # about the square root of the number of vectors; a bound on what is broadcast
+_SAMPLE = 16  # sampled vectors a list
+_ROUNDS = 6  # of k-means
+_ROWS = 512  # vectors that are compared with all centroids at once
+_BLOCK = 16_384  # a larger list is split, and its blocks are probed apart
 _FIRST = 64  # candidates that are compared in full to begin with
-_EPSILON = 2.1  # of the hypothesis test: how many deviations a partial distance may be off
+_EPSILON = 2.4  # of the hypothesis test: how many deviations a partial distance may be off
 
 
 def rotation(size: int) -> np.ndarray:
@@ -66,17 +68,24 @@ def _unpacked(column: pa.Array, size: int) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True) if len(values) else values
 
 
-def _centroids(vectors: DataFrame, count: int, size: int) -> np.ndarray:
-    """Centroids fitted on a bounded sample by a few rounds of spherical k-means."""
-    lists = int(np.clip(count // _LIST_SIZE, 1, MOST_LISTS))
-    sampled = min(MOST_SAMPLED, 12 * lists)
-    rows = vectors.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sampled).select("vec").toArrow()
-    sample = _unpacked(rows["vec"].combine_chunks(), size).astype(np.float32)
+def _nearest(units: np.ndarray, centre: np.ndarray, take: int) -> np.ndarray:
+    """The `take` nearest centroids of each vector, the nearest first."""
+    take = min(take, len(centre))
+    out = np.zeros((len(units), take), dtype=np.int32)
+    for a in range(0, len(units), _ROWS):
+        near = units[a : a + _ROWS] @ centre.T
+        some = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        out[a : a + _ROWS] = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
+    return out
+
+
+def _means(sample: np.ndarray, count: int) -> np.ndarray:
+    """`count` centroids of a sample by a few rounds of spherical k-means."""
     if not len(sample):
-        return np.ones((1, size), dtype=np.float32)
-    centre = sample[:lists].copy()
-    for _ in range(6):
-        owner = np.concatenate([np.argmax(sample[a : a + 4096] @ centre.T, axis=1) for a in range(0, len(sample), 4096)])
+        return np.ones((1, sample.shape[1]), dtype=np.float32)
+    centre = sample[:count].copy()
+    for _ in range(_ROUNDS):
+        owner = _nearest(sample, centre, 1)[:, 0]
         sums = np.zeros_like(centre)
         np.add.at(sums, owner, sample)
         held = np.bincount(owner, minlength=len(centre)) > 0
@@ -84,6 +93,13 @@ def _centroids(vectors: DataFrame, count: int, size: int) -> np.ndarray:
     return centre
 
 
+def _fitted(vectors: DataFrame, count: int, size: int, lists: int | None) -> np.ndarray:
+    """Centroids fitted on a bounded sample."""
+    wanted = int(np.clip(round(count**0.5) if lists is None else lists, 1, MOST_LISTS))
+    rows = vectors.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(min(MOST_SAMPLED, _SAMPLE * wanted)).select("vec").toArrow()
+    return _means(_unpacked(rows["vec"].combine_chunks(), size).astype(np.float32).reshape(-1, size), wanted)
+
+
 class _Scan:
     """Compares blocks of unit vectors by columns of their rotation."""
 
@@ -169,19 +185,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 _PAIRS = "id long, other long, cosine double"
 
 
-def _neighbours(vectors: DataFrame, size: int, k: int, probes: int) -> DataFrame:
+def _neighbours(vectors: DataFrame, size: int, k: int, probes: int, lists: int | None) -> DataFrame:
     """(id, other, cosine) of the k best of each of the distinct vectors (id, vec)."""
     spark = vectors.sparkSession
-    centre = spark.sparkContext.broadcast(_centroids(vectors, vectors.count(), size))
+    shared = spark.sparkContext.broadcast(_fitted(vectors, vectors.count(), size, lists))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _unpacked(batch.column(1), size).astype(np.float32) @ centre.value.T
-            take = min(probes, near.shape[1])
-            some = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            some = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * take), pa.array(some.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some[:, 0]), lists], names=["id", "vec", "list", "probes"])
+            some = _nearest(_unpacked(batch.column(1), size).astype(np.float32).reshape(-1, size), shared.value, probes)
+            probed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * some.shape[1]), pa.array(some.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some[:, 0]), probed], names=["id", "vec", "list", "probes"])
 
     placed = checkpointed(vectors.mapInArrow(assign, "id long, vec binary, list int, probes array<int>"))
     sizes = {r["list"]: -(-r["n"] // _BLOCK) for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_LISTS rows
@@ -253,7 +266,7 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
 
 
-def nearest(df: DataFrame, id_column: str, vector_column: str, size: int, k: int = 10, probes: int = 4) -> DataFrame:
+def nearest(df: DataFrame, id_column: str, vector_column: str, size: int, k: int = 10, probes: int = 4, lists: int | None = None) -> DataFrame:
     """(id, other, cosine, rank): the k most similar other vectors of every usable one.
 
     Similarity is the cosine in double precision; of equals the smaller id
@@ -261,13 +274,13 @@ def nearest(df: DataFrame, id_column: str, vector_column: str, size: int, k: int
     NaN or infinite number or only zeros takes no part.  Fewer than k come out
     where there are no more.  Centroids are fitted on a bounded sample, every
     vector is indexed and asked; what lies in lists that aren't probed can be
-    missed.  Equal vectors are searched once: at most k + 1 of the least ids of
+    missed.  `lists` is about the square root of the number of vectors unless given.  Equal vectors are searched once: at most k + 1 of the least ids of
     a group of copies can be anyone's neighbours, and each copy gets its own
     rows.  Ids must be unique; other columns are not read.
     """
     vectors = checkpointed(usable(df, id_column, vector_column, size))
     distinct = checkpointed(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "vec", "copies"))
-    found = _neighbours(distinct.select("id", "vec"), size, k, probes).select("id", "other", "cosine")
+    found = _neighbours(distinct.select("id", "vec"), size, k, probes, lists).select("id", "other", "cosine")
     many = distinct.where("copies > 1").select("vec", F.col("id").alias("least"))
     copies = vectors.join(many, "vec").select("least", "id")
     # the least copies of each group, which stand beside it wherever it is found
