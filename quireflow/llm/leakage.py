@@ -9,8 +9,9 @@ it.  Hits are joined to passages and mapped back to positions in the text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from quireflow.llm.pairs import string_values
 from quireflow.llm.tokens import code_points, token_hashes, token_spans
 
-_MOST_PATTERNS = 400_000  # in one automaton; more items are scanned for in blocks
+_MOST_PATTERNS = 400_000  # in one automaton, which bounds what is broadcast; more items are scanned for in blocks
+_machines: dict[str, ahocorasick.Automaton] = {}  # the last one this worker compiled
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,7 @@ class Automaton:
     runs: list[tuple[int, ...]]
     items: list[list[int]]
     width: int
+    name: str = field(default_factory=lambda: str(uuid.uuid4()))
 
     @staticmethod
     def of(rows: list[tuple[int, str | None]], width: int) -> Automaton:
@@ -46,10 +49,15 @@ class Automaton:
         return Automaton(vocabulary, list(found), [sorted(x) for x in found.values()], width)
 
     def compiled(self) -> ahocorasick.Automaton:
+        """The automaton, which a worker compiles once, not once a task."""
+        if self.name in _machines:
+            return _machines[self.name]
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, run in enumerate(self.runs):
             machine.add_word(run, k)
         machine.make_automaton()
+        _machines.clear()
+        _machines[self.name] = machine
         return machine
 
     def scan(self, machine: ahocorasick.Automaton, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -102,8 +110,9 @@ def _blocks(items: DataFrame, width: int) -> Iterator[list[tuple[int, str | None
     block: list[tuple[int, str | None]] = []
     patterns = 0
     for row in items.toLocalIterator():
-        for text in row[1:]:
-            size = max(0, len((text or "").split()) - width + 1) if text else 0
+        n_tokens = np.diff(token_hashes(row[1:])[1]).tolist()
+        for text, n in zip(row[1:], n_tokens, strict=True):
+            size = max(0, n - width + 1)
             if block and patterns + size > _MOST_PATTERNS:
                 yield block
                 block, patterns = [], 0
