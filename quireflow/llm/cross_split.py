@@ -22,37 +22,42 @@ from quireflow.llm.pairs import string_values, verified
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
-_SKETCH = 1 << 24  # one-byte counters: 16 MB, whatever the number of texts
+_SKETCH = 1 << 24  # cells of one byte: 16 MB, whatever the number of texts
 _SEGMENT = 1 << 16
 
 
-def shingle_counts(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray:
-    """How many texts hold the shingles of each cell, as far as 255.
+def _packed(at: int, counts: np.ndarray) -> pa.RecordBatch:
+    data = pa.compress(counts.tobytes(), "zstd", asbytes=True)
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["segment", "counts"])
 
-    A fixed size.  Shingles that fall together only move later in the common
-    order, which any total order may do without losing a pair.
+
+def shingle_ranks(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray:
+    """How common the shingles of each cell are: 0 for none, 1 for one text, and 8 more each time their number doubles.
+
+    A fixed size.  Counts are exact until they are ranked at the end, so that
+    the commonest shingles are last in the order.  Shingles that fall together
+    only move later in it, which any total order may do without losing a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_SKETCH, dtype=np.uint8)
+        counts = np.zeros(_SKETCH, dtype=np.uint32)
         for batch in batches:
             flat, _, _ = distinct_shingles(string_values(batch.column(0)), width, least_tokens)
             cells, n = np.unique(flat % np.uint64(_SKETCH), return_counts=True)
-            cells = cells.astype(np.int64)
-            counts[cells] = np.minimum(counts[cells] + n, 255)
+            counts[cells.astype(np.int64)] += n.astype(np.uint32)
         parts = counts.reshape(-1, _SEGMENT)
-        used = np.flatnonzero(parts.any(axis=1))
-        for at in used.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pa.compress(parts[at].tobytes(), "zstd", asbytes=True)], pa.binary())], names=["segment", "counts"])
+        for at in np.flatnonzero(parts.any(axis=1)).tolist():
+            yield _packed(at, parts[at])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(pa.decompress(packed, _SEGMENT, "zstd", asbytes=True), dtype=np.uint8)
-                held[at] = np.minimum(held.get(at, np.zeros(_SEGMENT, dtype=np.uint16)) + counts, 255).astype(np.uint16)
+                counts = np.frombuffer(pa.decompress(packed, 4 * _SEGMENT, "zstd", asbytes=True), dtype=np.uint32)
+                held[at] = held.get(at, np.zeros(_SEGMENT, dtype=np.uint64)) + counts
         for at, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pa.compress(counts.astype(np.uint8).tobytes(), "zstd", asbytes=True)], pa.binary())], names=["segment", "counts"])
+            ranks = np.where(counts > 0, 1 + np.round(8 * np.log2(np.maximum(counts, 1))), 0)
+            yield _packed(at, np.minimum(ranks, 255).astype(np.uint8))
 
     kind = "segment int, counts binary"
     rows = texts.select("text").mapInArrow(run, kind).repartition("segment").mapInArrow(add, kind).toArrow()  # at most 16 MB
@@ -123,7 +128,7 @@ def overlaps(
         held_out.alias("held_out"),
         (F.lit(0) if within is None else within).cast("long").alias("within"),
     ).where("id is not null and text is not null and held_out is not null and within is not null")
-    sketch = shingle_counts(texts.where("held_out"), width, least_tokens)
+    sketch = shingle_ranks(texts.where("held_out"), width, least_tokens)
     rows = checkpointed(_prefixes(texts, width, least_tokens, threshold, sketch))
     key = ["held_out", "sig", "sig2"]
     # copies have the same prefix; the least of them is indexed or probes for all

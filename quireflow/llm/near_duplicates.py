@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.cross_split import shingle_counts
+from quireflow.llm.cross_split import shingle_ranks
 from quireflow.llm.pairs import Bloom, components, string_values, verified
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
@@ -265,7 +265,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
             yield batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False)))).select(["text"])
 
     some = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(asked, "text string")
-    counts = context.broadcast(shingle_counts(some, width, least_tokens))
+    counts = context.broadcast(shingle_ranks(some, width, least_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
