@@ -1,12 +1,13 @@
 """Groups of near-duplicate texts by meet-in-the-middle ball hashing.
 
-A text has several fingerprints of five symbols, each symbol being the least of
+A text has several fingerprints of four symbols, each symbol being the least of
 its shingles under one of many hash functions, so two texts agree in a symbol
 with a probability equal to their similarity.  Two fingerprints within radius 2
 (the number of symbols that differ) meet in the middle: each emits every variant
 within half the radius, that is with one symbol masked.  Variants are shuffled,
-and colliding texts become candidate pairs.  A pair that agrees in far too few of
-all symbols is dropped; each other one is verified on its whole shingle sets.
+and texts that collide twice become candidate pairs.  A pair that agrees in far
+too few of all symbols is dropped; each other one is verified on its whole
+shingle sets.
 
 A crowded bucket pairs its members with a few of them only.  The members of
 those crowded buckets that then still belong to more than one group go through
@@ -27,9 +28,10 @@ from quireflow.llm.pairs import Bloom, components, string_values, verified
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
-_NEAR = 4  # a bucket of more than one beyond it is crowded
+_NEAR = 12  # a bucket of more than one beyond it is crowded
 _BLOCK_PAIRS = 1 << 20  # pairs of a bucket that are compared at once
-_SYMBOLS = 5  # of a fingerprint
+_SYMBOLS = 4  # of a fingerprint
+_MEETINGS = 2  # variants that a candidate pair shares at least
 _DEVIATIONS = 4.5  # below the expected agreement of symbols at which a pair is dropped
 _KEY_BYTES = 6  # of a variant; keys that fall together only make candidates that fail later
 _PART_ENTRIES = 1_000_000  # of variants that a task sorts at once
@@ -87,27 +89,29 @@ def _variants(fp: pa.Array, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(out), np.tile(np.arange(n), len(out))
 
 
-def _bucket_pairs(bucket: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within buckets, rows being ordered by bucket and member: each with
-    the bucket's first and with the _NEAR before it.  Linear in the rows."""
-    if not len(bucket):
-        return member, member
-    first = np.ones(len(bucket), dtype=bool)
+def _bucket_pairs(bucket: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within buckets and how many buckets each comes from, rows being ordered by bucket and member: each
+    with the bucket's first and with the _NEAR before it.  Linear in the rows."""
+    n = len(bucket)
+    if not n:
+        return member, member, np.zeros(0, dtype=np.int64)
+    first = np.ones(n, dtype=bool)
     first[1:] = bucket[1:] != bucket[:-1]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    a, b = [member[head]], [member]
+    place = np.arange(n) - head
+    far = place > _NEAR
+    a, b = [member[head[far]]], [member[far]]
     for k in range(1, _NEAR + 1):
-        same = bucket[k:] == bucket[:-k]
-        a.append(member[:-k][same])
-        b.append(member[k:][same])
+        later = np.flatnonzero(place >= k)
+        a.append(member[later - k])
+        b.append(member[later])
     left, right = np.concatenate(a), np.concatenate(b)
-    keep = left != right
-    left, right = left[keep], right[keep]
     order = np.lexsort((right, left))
     left, right = left[order], right[order]
     new = np.ones(len(left), dtype=bool)
     new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    return left[new], right[new]
+    at = np.flatnonzero(new)
+    return left[at], right[at], np.diff(np.append(at, len(left)))
 
 
 def _pack(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
@@ -152,7 +156,7 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
             keys, rows = _variants(batch.column(1), mix(batch.column(2).to_numpy().view(np.uint64)))
             keys, members, first, size = _groups_of(keys, ids[rows])
             many = size > _NEAR + 1
-            a, b = _bucket_pairs(keys[many], members[many])
+            a, b, times = _bucket_pairs(keys[many], members[many])
             on = first | ~many
             keys, members, marked = keys[on], members[on], many[on]
             # crowded keys are told once a block; they come with the pairs
@@ -162,7 +166,7 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
             cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
             out = [(int(part[x]), 0, int(y - x), _pack([keys[x:y], members[x:y]], (_KEY_BYTES, 8))) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             if len(a):
-                out.append((int(a[0] % parts), 1, len(a), _pack([a, b], (8, 8))))
+                out.append((int(a[0] % parts), 1, len(a), _pack([a, b, times], (8, 8, 4))))
             if marked.any():
                 crowded = np.unique(keys[marked[order]])
                 out.append((int(crowded[0] % np.uint64(parts)), 2, len(crowded), _pack([crowded], (_KEY_BYTES,))))
@@ -177,17 +181,15 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
             if held:
                 keys, members, first, size = _groups_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 more = size > 1
-                a, b = _bucket_pairs(keys[more], members[more].view(np.int64))
-                yield _pairs(a, b)
-                yield _pairs(np.unique(keys[size > _NEAR + 1]).view(np.int64), None)
+                yield _pairs(*_bucket_pairs(keys[more], members[more].view(np.int64)))
+                yield _pairs(np.unique(keys[size > _NEAR + 1]).view(np.int64))
 
         for batch in batches:
             for part, kind, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
-                    a, b = _unpack(data, n, (8, 8))
-                    yield _pairs(a.view(np.int64), b.view(np.int64))
+                    yield _pairs(*(x.view(np.int64) for x in _unpack(data, n, (8, 8, 4))))
                 elif kind == 2:
-                    yield _pairs(_unpack(data, n, (_KEY_BYTES,))[0].view(np.int64), None)
+                    yield _pairs(_unpack(data, n, (_KEY_BYTES,))[0].view(np.int64))
                 else:
                     if part != here:
                         yield from done()
@@ -196,12 +198,15 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
         yield from done()
 
     rows = texts.select("id", "fp", "within").mapInArrow(local, "part int, kind int, n int, data binary")
-    met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
-    return met.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+    met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, n long")
+    lone = F.col("b").isNull()
+    pairs = met.select(F.when(lone, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(~lone, F.greatest("a", "b")).alias("b"), "n")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("b").isNull() | (F.col("n") >= _MEETINGS)).select("a", "b")
 
 
-def _pairs(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    other, times = (pa.nulls(len(a), pa.int64()),) * 2 if b is None else (pa.array(b, pa.int64()), pa.array(n, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), other, times], names=["a", "b", "n"])
 
 
 def agreeing(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
@@ -361,7 +366,7 @@ def near_duplicates(
     width: int = 5,
     threshold: float = 0.8,
     least_tokens: int = 20,
-    prints: int = 30,
+    prints: int = 36,
     within: Column | None = None,
 ) -> DataFrame:
     """(id, group) of every row that has a near-duplicate; group is the least id.
@@ -375,9 +380,9 @@ def near_duplicates(
     in it are compared, so that one pass serves several tables.
 
     Two fingerprints of texts of similarity s meet with probability
-    5 s^4 (1 - s) + s^5.  With 30 of them a pair of exactly 0.5 is missed twice in
-    a thousand, one of 0.55 once in 7,000 and one of 0.6 five times in a million,
-    unless other texts link it.
+    4 s^3 (1 - s) + s^4.  With 36 of them a pair of exactly 0.5 collides less than
+    twice in 24 of a million cases, one of 0.6 never in practice, and then is
+    missed unless other texts link it.
     """
     texts = df.select(
         F.col(id_column).cast("long").alias("id"),

@@ -26,9 +26,9 @@ def frame(spark, ids, vectors):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x") for i, v in zip(ids, vectors, strict=True)], "id long, emb array<float>, vec string")
 
 
-def found(df, size, k):
+def found(df, size, k, lists=None):
     out = {}
-    for r in N.nearest(df, "id", "emb", size, k).orderBy("id", "rank").collect():
+    for r in N.nearest(df, "id", "emb", size, k, lists=lists).orderBy("id", "rank").collect():
         out.setdefault(r.id, []).append(r.other)
     return out
 
@@ -40,11 +40,10 @@ def test_one_list_is_exact(spark):
 
 
 def test_recall_with_lists_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "_LIST_SIZE", 40)
     monkeypatch.setattr(N, "_BLOCK", 32)
     vectors = clustered(3, 1200, 24)
     ids = list(range(1200))
-    want, got = exact(ids, vectors, 10), found(frame(spark, ids, vectors), 24, 10)
+    want, got = exact(ids, vectors, 10), found(frame(spark, ids, vectors), 24, 10, 30)
     assert set(got) == set(ids) and all(len(x) == 10 for x in got.values())
     assert np.mean([len(set(want[i]) & set(got[i])) / 10 for i in ids]) > 0.97
 
