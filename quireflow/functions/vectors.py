@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as T
@@ -44,6 +45,13 @@ def masked_mean(tokens: Column, mask: Column) -> Column:
     return F.transform(total, lambda x: x / weight)
 
 
+def masked_means(df: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
+    """(key, pos, x): by position the mean of each key's vectors whose mask is 1, by partial sums; 0 where none is."""
+    rows = df.select(key, mask.cast("double").alias("__m"), F.posexplode(doubles(F.col(vector))).alias("pos", "__x"))
+    sums = rows.groupBy(key, "pos").agg(F.sum(F.when(F.col("__m") != 0, F.col("__x") * F.col("__m")).otherwise(0.0)).alias("__s"), F.sum("__m").alias("__w"))
+    return sums.select(key, "pos", (F.col("__s") / F.greatest("__w", F.lit(1e-9))).alias("x"))
+
+
 def _rows(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
@@ -93,6 +101,24 @@ def encoding(make: Callable[[], Encoder], batch: int = 32) -> Callable[..., Colu
     return encode
 
 
+def hashing_encoder(size: int = 64) -> Encoder:
+    """The same stand-in as hashing_vector for `encoding`, linear in the number of words; words are split at spaces."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), size), dtype=np.float64)
+        known: dict[str, tuple[int, float]] = {}
+        for row, text in enumerate(texts):
+            for word in text.lower().split():
+                if word not in known:
+                    code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                    known[word] = (code % size, -1.0 if code // 65536 % 2 else 1.0)
+                place, sign = known[word]
+                out[row, place] += sign
+        return out
+
+    return encode
+
+
 def hashing_vector(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for a model: signed counts of hashed words, of unit length.
 

@@ -8,7 +8,7 @@ expressions test each character against a wide class of spaces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +88,18 @@ def windows(words: list[int], config: ChunkConfig = ChunkConfig()) -> list[tuple
     return out
 
 
-def chunk_text(text: str, config: ChunkConfig = ChunkConfig()) -> Iterator[tuple[str, str, int, int, int]]:
+Splitter = Callable[[str], list[str]]
+
+
+def split_sentences(text: str) -> list[str]:
+    """Parts between an end mark and white space before a Latin capital: the splitter where no other is given."""
+    return _BETWEEN.split(text)
+
+
+def chunk_text(text: str, config: ChunkConfig = ChunkConfig(), split: Splitter = split_sentences) -> Iterator[tuple[str, str, int, int, int]]:
     """(section, text, word_count, section_index, chunk_index_in_section) of a document's chunks."""
     for index, (title, content, _) in enumerate(sections_or_body(text, config)):
-        sentences = [p for p in (s.split() for s in _BETWEEN.split(content)) if p]
+        sentences = [p for p in (s.split() for s in split(content)) if p]
         for k, (first, after) in enumerate(windows([len(p) for p in sentences], config)):
             words = [w for p in sentences[first:after] for w in p]
             yield title, " ".join(words), len(words), index, k
@@ -102,19 +110,23 @@ _TYPES = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32
 _SCHEMA = "chunk_id int, section string, text string, word_count int, section_index int, chunk_index_in_section int"
 
 
-def chunk_documents(papers: DataFrame, text_column: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """One row for each chunk with the other columns of its paper."""
+def chunk_documents(papers: DataFrame, text_column: str, config: ChunkConfig = ChunkConfig(), make: Callable[[], Splitter] | None = None) -> DataFrame:
+    """One row for each chunk with the other columns of its paper; `make` returns another sentence splitter, once a worker's task.
+
+    If that splitter fails on a text, the text is split as without one.
+    """
     kept = [c for c in papers.columns if c != text_column]
     if clash := set(_COLUMNS) & set(kept):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = split_sentences if make is None else _or_plain(make())
         for batch in batches:
             owner, rows = [], []
             for i, text in enumerate(batch.column(len(kept)).to_pylist()):
                 if not text.strip():
                     continue
-                made = [(k, *c) for k, c in enumerate(chunk_text(text, config))]
+                made = [(k, *c) for k, c in enumerate(chunk_text(text, config, split))]
                 rows += made
                 owner += [i] * len(made)
             same = pa.array(np.array(owner, dtype=np.int64))
@@ -127,6 +139,16 @@ def chunk_documents(papers: DataFrame, text_column: str, config: ChunkConfig = C
     return rows.mapInArrow(run, ", ".join([*fields, _SCHEMA]))
 
 
+def _or_plain(split: Splitter) -> Splitter:
+    def either(text: str) -> list[str]:
+        try:
+            return list(split(text))
+        except Exception:  # whatever a foreign splitter raises
+            return split_sentences(text)
+
+    return either
+
+
 def section_rows(papers: DataFrame, id_column: str, text_column: str, config: ChunkConfig = ChunkConfig(), fallback: bool = False) -> DataFrame:
     """(id, section_index, section, content, n_words); with `fallback` also the whole text of papers without any."""
 

@@ -8,6 +8,8 @@ the end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,15 +107,16 @@ def chunk_array(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     return F.flatten(F.transform(sections_or_body(text, config), of_section))
 
 
-def chunk_documents(papers: DataFrame, id_column: str = "paper_id", text_column: str = "article", config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def chunk_documents(papers: DataFrame, id_column: str = "paper_id", text_column: str = "article", config: ChunkConfig = ChunkConfig(), make: Callable[[], chunk_rows.Splitter] | None = None) -> DataFrame:
     """One row for each chunk: the id, chunk_id, section, text, word_count, section_index, chunk_index_in_section.
 
     Other columns of `papers` are kept.  Blank and null texts have no chunks.
-    Batches are cut by the rules in quireflow.operators.chunk_rows.
+    Batches are cut by the rules in quireflow.operators.chunk_rows; `make`
+    returns another sentence splitter.
     """
     if id_column not in papers.columns:
         raise ValueError(f"no column {id_column}")
-    return chunk_rows.chunk_documents(papers, text_column, config)
+    return chunk_rows.chunk_documents(papers, text_column, config, make)
 
 
 def process_documents(papers: DataFrame, id_column: str = "paper_id", text_column: str = "article", config: ChunkConfig = ChunkConfig()) -> DataFrame:

@@ -6,6 +6,8 @@ Tokens are runs of ASCII letters and digits of the lower-cased text.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 
+MOST_SETS = 100  # evaluation sets of one report
+
+
 def tokens(text: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ")
     return F.filter(words, lambda w: w != "")
@@ -25,21 +30,32 @@ def _measures(common: Column, predicted: Column, expected: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def ngrams(words: Column, n: int) -> Column:
-    if n == 1:
-        return words
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+def _shared(predicted: list[str], expected: list[str], n: int) -> int:
+    """Runs of n words that both have, counted with repeats."""
+    grams = lambda words: Counter(words if n == 1 else zip(*(words[k:] for k in range(n)), strict=False))
+    return (grams(predicted) & grams(expected)).total()
+
+
+def shared_ngrams(n: int) -> Callable[..., Column]:
+    """An Arrow function: n-grams shared by two arrays of words, linear in their length."""
+
+    @F.arrow_udf(types.IntegerType())
+    def count(predicted: pa.Array, expected: pa.Array) -> pa.Array:
+        return pa.array([_shared(p or [], r or [], n) for p, r in zip(predicted.to_pylist(), expected.to_pylist(), strict=True)], pa.int32())
+
+    return count
+
+
+def rouge_n_score(predicted: Column, expected: Column, n: int) -> Column:
+    """F1 of the n-grams shared by two arrays of words, counted with repeats."""
+    size = lambda words: F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return _measures(shared_ngrams(n)(predicted, expected), size(predicted), size(expected))
 
 
 def rouge_n(pairs: DataFrame, key: str, n: int, prediction: str = "prediction", reference: str = "reference", prepare=tokens) -> DataFrame:
-    """(key, score): F1 of the n-grams shared by prediction and reference, counted with repeats."""
-    sides = pairs.select(key, ngrams(prepare(F.col(prediction)), n).alias("p"), ngrams(prepare(F.col(reference)), n).alias("r"))
-    sizes = sides.select(key, F.size("p").alias("np"), F.size("r").alias("nr"))
-    grams = sides.select(key, F.explode(F.concat(F.transform("p", lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    counts = grams.groupBy(key, F.col("x.g").alias("g")).agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    common = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("c"))
-    return sizes.join(common, key, "left").select(key, _measures(F.coalesce("c", F.lit(0)), F.col("np"), F.col("nr")).alias("score"))
+    """(key, score) of each pair by rouge_n_score; words are made once, and nothing is shuffled."""
+    sides = pairs.select(key, prepare(F.col(prediction)).alias("p"), prepare(F.col(reference)).alias("r"))
+    return sides.select(key, rouge_n_score(F.col("p"), F.col("r"), n).alias("score"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -238,6 +254,52 @@ def rounded(value: Column) -> Column:
     return F.round(value, 4)
 
 
+def rouge_scores(pairs: DataFrame, keep: list[str | Column], prediction: str = "prediction", reference: str = "reference", prepare=tokens) -> DataFrame:
+    """The columns `keep` with rouge1, rouge2, rougeL and rougeLsum of each pair, in one pass over the texts."""
+    lines = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), prepare), lambda w: F.size(w) > 0)
+    rows = pairs.select(*keep, prepare(F.col(prediction)).alias("__p"), prepare(F.col(reference)).alias("__r"), lines(prediction).alias("__pl"), lines(reference).alias("__rl"))
+    p, r = F.col("__p"), F.col("__r")
+    return rows.select(
+        *rows.columns[: len(keep)],
+        rouge_n_score(p, r, 1).alias("rouge1"),
+        rouge_n_score(p, r, 2).alias("rouge2"),
+        _measures(lcs_length(p, r), F.size(p), F.size(r)).alias("rougeL"),
+        _measures(union_lcs(F.col("__pl"), F.col("__rl")), F.size(p), F.size(r)).alias("rougeLsum"),
+    )
+
+
 def metrics_summary(scores: DataFrame, names: list[str], by: str = "eval_set") -> DataFrame:
     """One row for each evaluation set: the mean of each score, rounded, and the number of pairs."""
     return scores.groupBy(by).agg(*[rounded(F.avg(n)).alias(n) for n in names], F.count(F.lit(1)).alias("n_pairs"))
+
+
+def decoded(ids: Column, vocabulary: Column, skip: tuple[int, ...] = ()) -> Column:
+    """Texts of arrays of ids by a map from id to token; ids to skip and unknown ones are left out, as special tokens are."""
+    kept = F.filter(ids, lambda x: ~x.isin(*skip)) if skip else ids
+    return F.array_join(F.transform(kept, lambda x: F.try_element_at(vocabulary, x)), " ")
+
+
+def combined_metrics(summary: DataFrame, by: str = "eval_set") -> DataFrame:
+    """One row with every set's scores under <set>_<score>, in the order of the sets' names.
+
+    The sets are few; their names are read first.
+    """
+    names = [c for c in summary.columns if c != by]
+    sets = [r[0] for r in summary.select(by).distinct().orderBy(by).limit(MOST_SETS + 1).collect()]
+    if len(sets) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} evaluation sets")
+    pick = lambda s, n: F.max(F.when(F.col(by) == s, F.col(n))).alias(f"{s}_{n}")
+    return summary.agg(*[pick(s, n) for s in sets for n in names]) if sets else summary.limit(0)
+
+
+def report_line(combined: DataFrame, sets: list[str], score: str = "rougeL") -> DataFrame:
+    """(eval_set, score) of the sets asked for: <set>_<score>, else <score>, else N/A; four decimals."""
+    columns = combined.columns
+
+    def shown(name: str) -> Column:
+        found = [c for c in (f"{name}_{score}", score) if c in columns]
+        values = [F.format_string("%.4f", F.col(c).cast("double")) for c in found]
+        return F.coalesce(*[F.when(F.col(c).isNotNull(), v) for c, v in zip(found, values, strict=True)], F.lit("N/A"))
+
+    rows = F.array(*[F.struct(F.lit(s).alias("eval_set"), shown(s).alias("score")) for s in sets])
+    return combined.select(F.explode(rows).alias("r")).select("r.eval_set", "r.score")

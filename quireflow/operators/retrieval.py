@@ -6,7 +6,7 @@ with their own unit vector.  Equal scores are ordered by chunk_gid.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,9 @@ from quireflow.config import RetrievalConfig
 from quireflow.functions.vectors import dot_products
 
 
+MOST_DRAWN = 10_000  # chunks that are broadcast for a random draw: what is drawn and the longest list of exclusions
+
+
 def check_k(k: int) -> None:
     if k <= 0:
         raise ValueError("k must be positive")
@@ -96,29 +99,107 @@ def mmr_rows(candidates: DataFrame, key: str | list[str], size: int, weight: flo
 def clean_retrieval(chunks: DataFrame, query: str, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """(paper_id, chunk_gid, score, rank) of the chunks retrieved for each paper's own query.
 
-    One shuffle by paper serves the counts, the candidates and the picks.
+    Vectors are scored where they lie.  Papers are counted by partial sums, and
+    the rank's limit, which no rule of candidates exceeds, drops rows before
+    the shuffle, so that a paper of very many chunks is no large task.
     """
-    counts = chunks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("paper_id")))
-    order = Window.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_gid")
-    rows = scored(counts, query, config.dimensions).withColumn("rank", F.row_number().over(order)).withColumn("k", effective_k(F.col("n"), config))
-    candidates = rows.where(F.col("rank") <= candidate_k(F.col("n"), F.col("k"))).where(F.col("rank") <= max(50, 5 * config.final_k))
-    return mmr_rows(candidates, "paper_id", config.dimensions, config.mmr_lambda, "k")
+    scores = scored(chunks, query, config.dimensions).select("paper_id", "chunk_gid", "vec", "score")
+    counts = chunks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).withColumn("k", effective_k(F.col("n"), config))
+    best = ranked(scores, "paper_id", max(50, 5 * config.final_k)).join(counts, "paper_id")
+    return mmr_rows(best.where(F.col("rank") <= candidate_k(F.col("n"), F.col("k"))), "paper_id", config.dimensions, config.mmr_lambda, "k")
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int, size: int, weight: float = 0.5, candidates: int | None = None) -> DataFrame:
-    """(query_id, chunk_gid, score, rank): picks for a few queries (query_id, qvec) over all chunks.
+_QUERY_BLOCK = 1024  # queries that are compared with a block of chunks at once
+_SLACK = 1e-9  # of products whose order of addition differs; the final score is added up in one order
+
+
+def best_chunks(queries: DataFrame, chunks: DataFrame, most: int, size: int) -> DataFrame:
+    """(query_id, chunk_gid, score, rank): the best `most` chunks of each query (query_id, qvec), of any number of queries.
 
-    The queries are broadcast; their number is checked.
+    Blocks of queries meet blocks of chunks as matrices; of each meeting only
+    a query's best rows go on, so what is shuffled follows queries times
+    blocks, not queries times chunks.  Equal scores are ordered by chunk_gid.
     """
+    check_k(most)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    blocks = -(-max(1, queries.count()) // _QUERY_BLOCK)
+    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.flatten(F.collect_list("qvec")).alias("qvecs"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one = np.array([0, batch.num_rows], dtype=np.int32)
+                flat = batch.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(one), batch.column(0)), pa.ListArray.from_arrays(pa.array(np.array([0, len(flat)], dtype=np.int32)), flat)], names=["gids", "vecs"]
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, gids = batch.column(0)[k].values, batch.column(2)[k].values
+                asks, held = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size) for c in (1, 3))
+                near = asks @ held.T
+                bar = np.partition(near, len(gids) - most, axis=1)[:, len(gids) - most] if most < len(gids) else np.full(len(asks), -np.inf)
+                q, c = np.nonzero(near >= bar[:, None] - _SLACK)
+                score = np.einsum("ij,ij->i", asks[q], held[c])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), gids.take(pa.array(c)), pa.array(score)], names=["query_id", "chunk_gid", "score"])
+
+    packed = chunks.select("chunk_gid", "vec").mapInArrow(pack, "gids array<string>, vecs array<double>")
+    met = asked.select("query_ids", "qvecs").crossJoin(packed).mapInArrow(meet, f"query_id {kind}, chunk_gid string, score double")
+    return ranked(met, "query_id", most)
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int, size: int, weight: float = 0.5, candidates: int | None = None) -> DataFrame:
+    """(query_id, chunk_gid, score, rank): picks for each query (query_id, qvec) over all chunks."""
     check_k(k)
     check_lambda(weight)
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 queries at a time")
-    most = max(5 * k, 50) if candidates is None else candidates
-    check_k(most)
-    pairs = chunks.select("chunk_gid", "vec").crossJoin(F.broadcast(queries))
-    best = ranked(scored(pairs, "qvec", size), "query_id", most)
-    return mmr_rows(best, "query_id", size, weight, k)
+    best = best_chunks(queries, chunks, max(5 * k, 50) if candidates is None else candidates, size)
+    return mmr_rows(best.join(chunks.select("chunk_gid", "vec"), "chunk_gid"), "query_id", size, weight, k)
+
+
+class Retriever:
+    """Search over the chunks it was built with; an error before that, or for no chunks."""
+
+    def __init__(self, size: int, weight: float = 0.5) -> None:
+        check_lambda(weight)
+        self.size, self.weight = size, weight
+        self.chunks: DataFrame | None = None
+
+    def build(self, chunks: DataFrame) -> Retriever:
+        if chunks.isEmpty():
+            raise ValueError("no documents to index")
+        self.chunks = chunks
+        return self
+
+    def ready(self) -> DataFrame:
+        if self.chunks is None:
+            raise RuntimeError("build the index before searching")
+        return self.chunks
+
+    def search(self, queries: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
+        return search(queries, self.ready(), k, self.size, self.weight, candidates)
+
+    def contexts(self, queries: DataFrame, final_k: int = 3, noise_k: int = 2, shuffle: bool = False, seed: int = 42, candidates: int | None = None, hard: bool = False) -> DataFrame:
+        """(query_id, pos, chunk_gid, is_noise): picks and negatives of each query in one call.
+
+        Hard negatives come from the ranks after final_k, random ones from all
+        chunks; with `shuffle` both are put into one keyed order.
+        """
+        if noise_k < 0:
+            raise ValueError("noise_k must not be negative")
+        found = self.search(queries, final_k, candidates)
+        taken = found.select("query_id", "chunk_gid")
+        if hard and noise_k:
+            best = best_chunks(queries, self.ready(), max(candidates or 50, 50), self.size)
+            negatives = hard_negatives(best, taken, noise_k, seed, skip=final_k)
+        else:
+            negatives = random_negatives(queries, self.ready(), taken, noise_k, seed)
+        rows = training_contexts(found, negatives)
+        if not shuffle:
+            return rows
+        order = Window.partitionBy("query_id").orderBy(draw_key(seed, "order", F.col("query_id").cast("string"), F.col("chunk_gid")), "pos")
+        return rows.withColumn("pos", F.row_number().over(order))
 
 
 def pairwise(candidates: DataFrame, key: str, size: int) -> DataFrame:
@@ -143,6 +224,8 @@ def random_negatives(queries: DataFrame, chunks: DataFrame, exclude: DataFrame,
     if n <= 0:
         return exclude.limit(0).select("query_id", "chunk_gid", F.lit(1).alias("pos"))
     most = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if n + most > MOST_DRAWN:
+        raise ValueError(f"a query excludes more than {MOST_DRAWN - n} chunks")
     first = chunks.select("chunk_gid", draw_key(seed, F.col("chunk_gid")).alias("draw")).orderBy("draw", "chunk_gid").limit(n + most)
     pairs = queries.select("query_id").crossJoin(F.broadcast(first)).join(exclude, ["query_id", "chunk_gid"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("draw", "chunk_gid")

@@ -123,6 +123,9 @@ _K = "least(3, greatest(1, n - 2))"
 _CLEAN_PICKS = f"{_ASKED}, cand AS (SELECT * FROM ranked WHERE rank <= least(greatest(5 * {_K}, 50), n)), {_mmr('cand', 'paper_id', _K)}"
 _SEARCH = f"""{_UNIT}, pairs AS (SELECT query AS query_id, chunk_gid, vec, list_dot_product(vec, qvec) AS score FROM unit, templates),
  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_gid) AS rank FROM pairs QUALIFY rank <= 50), {_mmr("best", "query_id", "3")}"""
+_HUNDREDTH = f"""{_UNIT}, asked AS (SELECT vec_id AS query_id, vec AS qvec FROM unit WHERE vec_id % 100 = 0),
+ pairs AS (SELECT query_id, chunk_gid, vec, list_dot_product(vec, qvec) AS score FROM unit, asked),
+ picks AS (SELECT query_id, chunk_gid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_gid) AS pick FROM pairs QUALIFY pick <= 10)"""
 _HARD = f"""{_SEARCH}, hard AS (SELECT query_id, chunk_gid, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || chunk_gid), chunk_gid) AS pos
    FROM best b WHERE rank > 3 AND NOT EXISTS (SELECT 1 FROM picks p WHERE p.query_id = b.query_id AND p.chunk_gid = b.chunk_gid) QUALIFY pos <= 2)"""
 
@@ -197,7 +200,7 @@ _CONTEXTS = f"""items AS (SELECT source_doc_id, chunk_id, row_id, section, text,
  ids AS (SELECT DISTINCT source_doc_id FROM items)"""
 _BUDGET = "least(" + words(norm("context")) + ", 256)"
 
-_PAIRS = f"{_VALID}, scored_pairs AS (SELECT row_id, split, {_truncated('article', 60)} AS prediction, abstract AS reference FROM valid)"
+_PAIRS = f"{_VALID}, scored_pairs AS (SELECT row_id, split, article AS prediction, abstract AS reference FROM valid)"
 
 
 def _tokens(x: str) -> str:
@@ -222,6 +225,14 @@ def _rouge(n: int, name: str) -> str:
 _LABELS = f"list_transform(string_split({norm('target_text')}, ' '), lambda w, i: CASE WHEN (i - 1) % 5 = 4 THEN -100 ELSE length(w) END)"
 
 
+# The output sets and the queries whose examples they hold.
+_SETS = (
+    ("'train'", "training_examples"),
+    ("'valid'", "validation_examples"),
+    ("CASE noise_mode WHEN 'cross_doc_easy' THEN 'test_noisy_easy' WHEN 'cross_doc_hard' THEN 'test_noisy_hard' ELSE 'test_clean' END", "test_examples"),
+)
+
+
 def sql() -> dict[str, str]:
     """SQL by the name of the query."""
     out = {
@@ -250,11 +261,11 @@ def sql() -> dict[str, str]:
         "rejected_papers": f"SELECT row_id, 'chunk' AS stage, concat_ws(', ', CASE WHEN {clean('article')} = '' THEN 'empty article' END, CASE WHEN {clean('abstract')} = '' THEN 'empty abstract' END) AS reason FROM dataset_info WHERE {clean('article')} = '' OR {clean('abstract')} = ''",
         "l2_normalize": f"WITH {_UNIT} SELECT vec_id, unnest(range(0, 96))::BIGINT AS pos, round(unnest(vec), 6) AS x FROM everyone",
         "all_scores": f"WITH {_UNIT} SELECT vec_id, query, round(list_dot_product(vec, qvec), 6) AS score FROM unit, templates",
-        "masked_mean_pool": "WITH d AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, count(*) FILTER (vec_id % 2 = 0) AS n FROM embeddings GROUP BY label) SELECT label::BIGINT AS label, pos::BIGINT AS pos, round(sum(CASE WHEN vec_id % 2 = 0 THEN x ELSE 0 END) / greatest(any_value(n), 1e-9), 6) AS x FROM d JOIN c USING (label) GROUP BY label, pos",
+        "masked_mean_pool": "WITH r AS (SELECT split, list_transform(embeddings, lambda x: coalesce(x, 0)::DOUBLE) AS e, len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0 AS ok FROM databuildt WHERE len(embeddings) = 96), d AS (SELECT split, ok, unnest(range(0, 96)) AS pos, unnest(e) AS x FROM r) SELECT split, pos::BIGINT AS pos, round(sum(CASE WHEN ok THEN x ELSE 0 END) / greatest(count(*) FILTER (ok), 1e-9), 6) AS x FROM d GROUP BY split, pos",
         "hashing_encode": f"WITH w AS (SELECT item_id, unnest(list_filter(string_split(lower({norm('target_text')}), ' '), lambda w: w <> '')) AS w FROM heldout_examples), h AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w), s AS (SELECT item_id, h % 64 AS pos, sum(CASE WHEN (h // 65536) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL), g AS (SELECT i.item_id, p.pos, coalesce(x, 0) AS x FROM heldout_examples i CROSS JOIN (SELECT unnest(range(0, 64)) AS pos) p LEFT JOIN s ON s.item_id = i.item_id AND s.pos = p.pos) SELECT item_id, pos::BIGINT AS pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 1e-12), 6) AS x FROM g",
         "candidate_k_rule": f"WITH {_UNIT}, c AS (SELECT paper_id, count(*) AS n FROM unit GROUP BY paper_id) SELECT paper_id, n, {_K} AS k, least(greatest(5 * {_K}, 50), n) AS candidates FROM c",
-        "topk_candidates": f"WITH {_ASKED} SELECT paper_id, chunk_gid, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5",
-        "pairwise_sim": f"WITH {_ASKED}, c AS (SELECT * FROM ranked WHERE rank <= 5) SELECT a.paper_id, a.rank AS rank_a, b.rank AS rank_b, round(list_dot_product(a.vec, b.vec), 6) AS similarity FROM c a JOIN c b USING (paper_id)",
+        "topk_candidates": f"WITH {_ASKED} SELECT paper_id, chunk_gid, rank, round(score, 6) AS score FROM ranked WHERE rank <= 50",
+        "pairwise_sim": f"WITH {_ASKED}, c AS (SELECT * FROM ranked WHERE rank <= 50) SELECT a.paper_id, a.rank AS rank_a, b.rank AS rank_b, round(list_dot_product(a.vec, b.vec), 6) AS similarity FROM c a JOIN c b USING (paper_id)",
         "mmr_select": f"WITH {_CLEAN_PICKS} SELECT paper_id, chunk_gid, round(score, 6) AS score, pick AS rank FROM picks",
         "mmr_search": f"WITH {_SEARCH} SELECT query_id, chunk_gid, round(score, 6) AS score, pick AS rank FROM picks",
         "negatives_random": f"WITH {_SEARCH}, d AS (SELECT q.query AS query_id, u.chunk_gid, row_number() OVER (PARTITION BY q.query ORDER BY md5('42|' || u.chunk_gid), u.chunk_gid) AS pos FROM templates q, unit u WHERE NOT EXISTS (SELECT 1 FROM picks p WHERE p.query_id = q.query AND p.chunk_gid = u.chunk_gid)) SELECT query_id, chunk_gid, pos FROM d WHERE pos <= 2",
@@ -285,5 +296,23 @@ def sql() -> dict[str, str]:
         "label_unmask": f"WITH l AS (SELECT item_id, list_transform({_LABELS}, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS l FROM heldout_examples) SELECT item_id, unnest(range(0, len(l)))::BIGINT AS pos, unnest(l)::BIGINT AS label FROM l",
         "gen_len": f"SELECT split, round(avg(len(list_filter({_LABELS}, lambda x: x <> -100 AND x <> 0))), 4) AS gen_len FROM heldout_examples GROUP BY split",
         "padded_batches": f"WITH l AS (SELECT item_id, source, {_LABELS} AS l FROM heldout_examples), m AS (SELECT source, ceil(max(len(l)) / 8.0)::BIGINT * 8 AS n FROM l GROUP BY source) SELECT item_id, n AS padded, (len(list_filter(l, lambda x: x = -100)) + n - len(l))::BIGINT AS masked FROM l JOIN m USING (source)",
+        "search_hundredth": f"WITH {_HUNDREDTH} SELECT query_id, chunk_gid, round(score, 6) AS score, pick AS rank FROM picks",
+        "retriever_contexts": f"WITH {_HARD}, every AS (SELECT query_id, pick AS pos, chunk_gid, false AS is_noise FROM picks UNION ALL SELECT query_id, pos + 3, chunk_gid, true FROM hard) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|order|' || query_id || '|' || chunk_gid), pos) AS pos, chunk_gid, is_noise FROM every",
+        "noise_empty_pool": f"WITH {_ANY}, {_retrieved(2)} SELECT paper_id, pick AS pos, chunk_gid, false AS is_noise, 'none' AS noise_source, false AS has_true_noise FROM picks",
+        "jsonl_round_trip": "SELECT item_id::VARCHAR AS paper_id, split, text AS input_text, target_text, NULL::VARCHAR AS noise_mode FROM heldout_examples",
+        "tsv_round_trip": f"WITH {_VALID} SELECT {norm('article')} AS article, {norm('abstract')} AS abstract FROM valid",
+        "parquet_split": f"WITH {_VALID} SELECT article, abstract FROM valid WHERE split = 'validation'",
+        "arrow_split": f"WITH {_VALID} SELECT article, abstract FROM valid WHERE split = 'test'",
+        "optional_sets": "SELECT name, count(*) AS n, count(DISTINCT text) AS n_texts FROM heldout_examples h JOIN (VALUES ('train', 'validation'), ('valid', 'test'), ('again', 'test')) s(name, split) ON s.split = h.split GROUP BY name",
+        "from_rows": "SELECT * FROM (VALUES ('a', NULL, 2::BIGINT), (NULL, 'b', NULL), (NULL, NULL, NULL)) t(input_text, target_text, num_chunks)",
+        "metrics_report": f"WITH {_PAIRS}, {_rouge(1, 'one')}, m AS (SELECT split, round(avg(score), 4) AS s FROM scored_pairs JOIN one USING (row_id) GROUP BY split) SELECT eval_set, coalesce(printf('%.4f', s), 'N/A') AS score FROM (VALUES ('validation'), ('test'), ('noisy')) e(eval_set) LEFT JOIN m ON m.split = e.eval_set",
+        "decoded_ids": f"SELECT item_id, {norm('target_text')} AS text FROM heldout_examples",
+        "tokenized_pairs": f"SELECT array_to_string(list_transform(string_split({norm('text')}, ' ')[1:40], lambda w: length(w)), ' ') AS input_ids, least(40, {words(norm('text'))}) AS n, array_to_string(list_transform(string_split({norm('target_text')}, ' ')[1:10], lambda w: length(w)), ' ') AS labels FROM heldout_examples",
     }
+    sets = " UNION ALL ".join(f"SELECT {name} AS output_set, paper_id, num_contexts, sample_type, split FROM ({out[query]})" for name, query in _SETS)
+    out["output_sets"] = f"SELECT output_set, count(*) AS n, count(DISTINCT paper_id) AS n_papers, round(avg(num_contexts), 6) AS mean_contexts FROM ({sets}) GROUP BY output_set"
+    out["build_report"] = f"""WITH every AS ({sets}), tested AS (SELECT count(*) FILTER (output_set = 'test_clean') AS m, count(*) FILTER (output_set = 'test_noisy_easy') AS e, count(*) FILTER (output_set = 'test_noisy_hard') AS h FROM every)
+      SELECT output_set || ' ' || sample_type AS line, count(*) AS n, NULL::VARCHAR AS rate FROM every GROUP BY ALL
+      UNION ALL SELECT 'rate test_noisy_easy', e, printf('%d/%d (%.1f%%)', e, m, 100.0::DOUBLE * e / greatest(m, 1)) FROM tested
+      UNION ALL SELECT 'rate test_noisy_hard', h, printf('%d/%d (%.1f%%)', h, m, 100.0::DOUBLE * h / greatest(m, 1)) FROM tested"""
     return out | {"document_counts_sql": out["document_counts"]}

@@ -18,7 +18,10 @@ from quireflow.functions.vectors import dot_products
 from quireflow.operators import noise as N
 from quireflow.operators import prompts as P
 from quireflow.operators import retrieval as R
-from quireflow.session import checkpointed
+from quireflow.session import checkpointed, few
+
+
+MOST_TEMPLATES = 1000  # templates of queries, which are broadcast
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,7 @@ def papers(docs: DataFrame, chunks: DataFrame, settings: Settings, min_chunks: i
 
 def similarities(pool: DataFrame, templates: DataFrame, size: int) -> DataFrame:
     """(query, paper_id, chunk_gid, sim) of each template against the pool."""
-    pairs = pool.select("paper_id", "chunk_gid", "vec").crossJoin(F.broadcast(templates.select("query", "qvec")))
+    pairs = pool.select("paper_id", "chunk_gid", "vec").crossJoin(few(templates.select("query", "qvec"), MOST_TEMPLATES))
     return pairs.select("query", "paper_id", "chunk_gid", dot_products(size)(F.col("vec"), F.col("qvec")).alias("sim"))
 
 
@@ -66,7 +69,7 @@ def _examples(contexts: DataFrame, used: DataFrame, corpus: Corpus, settings: Se
     lists = contexts.join(texts, "chunk_gid").groupBy("paper_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "is_noise"))).alias("c"), F.min("noise_source").alias("noise_source")
     )
-    rows = lists.join(used, "paper_id").join(corpus.targets, "paper_id").join(F.broadcast(corpus.templates.select("query", F.col("text").alias("question"))), "query")
+    rows = lists.join(used, "paper_id").join(corpus.targets, "paper_id").join(few(corpus.templates.select("query", F.col("text").alias("question")), MOST_TEMPLATES), "query")
     most = settings.prompt.max_contexts
     prompt = P.rag_input(F.col("question"), P.format_contexts(F.col("c.text"), settings.prompt, most), settings.prompt)
     return rows.select(
@@ -86,7 +89,7 @@ def _examples(contexts: DataFrame, used: DataFrame, corpus: Corpus, settings: Se
 
 def clean_picks(docs: DataFrame, used: DataFrame, corpus: Corpus, config: RetrievalConfig) -> DataFrame:
     """(paper_id, chunk_gid, score, rank) for each paper's template."""
-    asked = docs.join(used.select("paper_id", "query"), "paper_id").join(F.broadcast(corpus.templates.select("query", "qvec")), "query")
+    asked = docs.join(used.select("paper_id", "query"), "paper_id").join(few(corpus.templates.select("query", "qvec"), MOST_TEMPLATES), "query")
     return R.clean_retrieval(asked.select("paper_id", "chunk_gid", "vec", "qvec"), "qvec", config)
 
 
@@ -135,6 +138,17 @@ def output_sets(corpus: Corpus, settings: Settings = Settings(), train_mode: str
     return train.unionByName(valid).unionByName(test)
 
 
+def clean_where_no_noise(clean: DataFrame, noisy: DataFrame, papers: DataFrame) -> DataFrame:
+    """(paper_id, pos, chunk_gid, is_noise, noise_source, has_true_noise) of every paper: noisy contexts, or the clean ones where no noise was drawn.
+
+    So a split whose pool is empty still has a bundle for each paper, with the source none.
+    """
+    drawn = noisy.select("paper_id").distinct()
+    plain = clean.join(drawn, "paper_id", "left_anti").select("paper_id", F.col("rank").alias("pos"), "chunk_gid", F.lit(False).alias("is_noise"), F.lit("none").alias("noise_source"))
+    rows = noisy.withColumn("has_true_noise", F.lit(True)).unionByName(plain.withColumn("has_true_noise", F.lit(False)))
+    return rows.join(papers.select("paper_id"), "paper_id", "left_semi")
+
+
 def sample_type_counts(examples: DataFrame) -> DataFrame:
     return examples.groupBy("sample_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quireflow.config import QUERY_TEMPLATES, NoiseConfig, PromptConfig
 from quireflow.functions import text as T
@@ -16,8 +18,10 @@ from quireflow.operators import metrics as M
 from quireflow.operators import noise as N
 from quireflow.operators import prompts as P
 from quireflow.operators import retrieval as R
+from quireflow.plans import build as B
 from quireflow.plans import pipeline as plan
-from quireflow.session import checkpointed, table
+from quireflow.session import checkpointed, ensure_checkpoint_dir, table
+from quireflow.sources import readers, sinks
 from quireflow.sources.readers import cleaned_papers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,7 +178,9 @@ def _template_rows(vectors: DataFrame) -> DataFrame:
 def _corpus(spark: SparkSession, folder: str) -> plan.Corpus:
     vectors = checkpointed(_vectors(spark, folder))
     chunk = vectors.select("paper_id", "split", T.id_suffix(F.col("paper_id")).alias("idx"), "chunk_gid", "vec")
-    texts = table(spark, folder, "retrieval_tokenizer").groupBy(F.col("id").alias("chunk_gid")).agg(F.min("metadata.section").alias("section"), F.min("text").alias("text"))
+    # of a document that is there repeatedly one row counts, the least text with its own section
+    pool = table(spark, folder, "retrieval_tokenizer").where("text is not null").groupBy(F.col("id").alias("chunk_gid")).agg(F.min(F.struct("text", "metadata.section")).alias("r"))
+    texts = pool.select("chunk_gid", "r.section", "r.text")
     targets = _valid(spark, folder).groupBy("paper_id").agg(F.min_by("abstract", "row_id").alias("abstract"))
     return plan.Corpus(chunk, texts, targets, checkpointed(_template_rows(vectors)))
 
@@ -191,11 +197,10 @@ def all_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def masked_mean_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Each label's mean of vectors with an even vec_id, the others being masked."""
-    rows = table(spark, folder, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", V.doubles(F.col("embedding")).alias("v")))).alias("t"))
-    mask = F.transform("t", lambda x: F.when(x["vec_id"] % 2 == 0, 1.0).otherwise(0.0))
-    pooled = rows.select("label", V.masked_mean(F.col("t.v"), mask).alias("m"))
-    return pooled.select("label", F.posexplode("m").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+    """Each split's mean of its vectors of the right length, those with NaN or only zeros being masked."""
+    rows = table(spark, folder, "databuildt").where(F.size("embeddings") == SIZE).withColumn("v", F.transform("embeddings", lambda x: F.coalesce(x, F.lit(0.0).cast("float"))))
+    means = V.masked_means(rows, "split", "v", V.usable(F.col("embeddings"), SIZE).cast("int"))
+    return means.withColumn("x", F.round("x", 6))
 
 
 def hashing_encode(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,7 +224,7 @@ def candidate_k_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return R.ranked(R.scored(_asked(spark, folder), "qvec", SIZE), "paper_id", 5)
+    return R.ranked(R.scored(_asked(spark, folder), "qvec", SIZE), "paper_id", 50)
 
 
 def topk_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,9 +254,15 @@ def negatives_random(spark: SparkSession, folder: str) -> DataFrame:
     return R.random_negatives(_questions(spark, folder), _vectors(spark, folder), found, 2, 42)
 
 
+def search_hundredth(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best chunks for every vector whose id is divisible by 100, over all chunks, itself among them."""
+    vectors = _vectors(spark, folder)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return R.best_chunks(asked, vectors, 10, SIZE).withColumn("score", F.round("score", 6))
+
+
 def _best_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _vectors(spark, folder).select("chunk_gid", "vec").crossJoin(F.broadcast(_questions(spark, folder)))
-    return R.ranked(R.scored(pairs, "qvec", SIZE), "query_id", 50)
+    return R.best_chunks(_questions(spark, folder), _vectors(spark, folder), 50, SIZE)
 
 
 def negatives_hard(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,6 +276,12 @@ def training_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return R.training_contexts(found, hard)
 
 
+def retriever_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Picks and hard negatives of each template in one shuffled list."""
+    retriever = R.Retriever(SIZE).build(checkpointed(_vectors(spark, folder)))
+    return retriever.contexts(_questions(spark, folder), 3, 2, shuffle=True, seed=42, hard=True)
+
+
 # --- noise
 
 
@@ -321,13 +338,38 @@ def noisy_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return N.noisy_contexts(picks, _draws(spark, folder, "cross_doc_hard"), "cross_doc_hard", NoiseConfig())
 
 
+def noise_empty_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paper's bundle if the pool has no paper: the clean contexts, with the source none."""
+    corpus = _corpus(spark, folder)
+    docs = plan.documents(corpus)
+    used = plan.papers(docs, corpus.chunks, plan.Settings(), 1)
+    picks = plan.clean_picks(docs, used, corpus, plan.Settings().retrieval)
+    pool = plan.pool_of(corpus, plan.Settings(noise=NoiseConfig(pool_limit=0)))
+    sims = plan.similarities(pool, corpus.templates, SIZE)
+    drawn = N.draw_noise(sims, used.select("paper_id", "query"), "cross_doc_hard", 2)
+    return plan.clean_where_no_noise(picks, N.noisy_contexts(picks, drawn, "cross_doc_hard"), used)
+
+
 # --- prompts
 
 
-def _by_document(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document's chunks in order as contexts."""
-    rows = table(spark, folder, "rulebase_chunkforpdf").where("source_doc_id is not null")
-    return rows.groupBy("source_doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "row_id", "section", "text"))).alias("c"))
+def _chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "rulebase_chunkforpdf").where("source_doc_id is not null")
+
+
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    """(source_doc_id, c): each document's first chunks in order; what comes later is dropped before the shuffle."""
+    order = Window.partitionBy("source_doc_id").orderBy("chunk_id", "row_id")
+    placed = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return placed.groupBy("source_doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "section", "text"))).alias("c"))
+
+
+def _contexts(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    """(source_doc_id, n, c) of every document: how many chunks aren't blank, and the first of them."""
+    rows = _chunk_rows(spark, folder).withColumn("full", T.safe_strip(F.col("text")) != "")
+    counts = rows.groupBy("source_doc_id").agg(F.count_if("full").alias("n"))
+    empty = F.array().cast("array<struct<place:int,section:string,text:string>>")
+    return counts.join(_first(rows.where("full"), most), "source_doc_id", "left").withColumn("c", F.coalesce("c", empty))
 
 
 def _joined(contexts: Column) -> Column:
@@ -335,11 +377,11 @@ def _joined(contexts: Column) -> Column:
 
 
 def format_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_document(spark, folder).select("source_doc_id", _joined(P.format_contexts(F.col("c.text"), most=3)).alias("contexts"))
+    return _contexts(spark, folder, 3).select("source_doc_id", _joined(P.format_contexts(F.col("c.text"), most=3)).alias("contexts"))
 
 
 def format_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_document(spark, folder).select("source_doc_id", _joined(P.format_items(F.col("c"), most=3, headers=True)).alias("contexts"))
+    return _first(_chunk_rows(spark, folder), 3).select("source_doc_id", _joined(P.format_items(F.col("c"), most=3, headers=True)).alias("contexts"))
 
 
 def truncate_context(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,9 +389,9 @@ def truncate_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    """How many of a document's contexts fit the budget."""
-    made = _by_document(spark, folder).select("source_doc_id", P.format_contexts(F.col("c.text")).alias("f"))
-    return made.select("source_doc_id", F.size("f").alias("n"), F.size(P.fit_to_budget(F.col("f"))).alias("kept"))
+    """How many of a document's contexts fit the budget; each has a word at least, which bounds how many can."""
+    rows = _contexts(spark, folder, PromptConfig.token_budget + 1)
+    return rows.select("source_doc_id", "n", F.size(P.fit_to_budget(P.format_contexts(F.col("c.text")))).alias("kept"))
 
 
 def build_input_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -357,7 +399,7 @@ def build_input_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_input_rag(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _by_document(spark, folder)
+    rows = _contexts(spark, folder, 6)
     return rows.select("source_doc_id", P.rag_input(T.choose_query(F.col("source_doc_id")), P.format_contexts(F.col("c.text"), most=6)).alias("input_text"))
 
 
@@ -386,20 +428,90 @@ def pair_rates(spark: SparkSession, folder: str) -> DataFrame:
     return plan.pair_rates(training_examples(spark, folder)).withColumn("rate", F.round("rate", 4))
 
 
+def output_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The five sets written as JSON lines, read again and summed up."""
+    path = _scratch(spark)
+    sinks.write_output_sets(plan.output_sets(_corpus(spark, folder)), path)
+    schema = StructType([*readers.EXAMPLE.fields, StructField("output_set", StringType())])
+    return plan.summary(spark.read.schema(schema).json(path)).withColumn("mean_contexts", F.round("mean_contexts", 6))
+
+
+def _own_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper_id, split, idx, article, abstract) of valid papers; of one delivered again the first row."""
+    first = _valid(spark, folder).groupBy("paper_id").agg(F.min_by(F.struct("split", "article", "abstract"), "row_id").alias("r"))
+    return first.select("paper_id", "r.split", T.id_suffix(F.col("paper_id")).alias("idx"), "r.article", "r.abstract")
+
+
+def examples_from_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples of all sets from articles alone: cut, encoded by hashed words, retrieved, mixed with noise."""
+    return B.examples_from_papers(_own_papers(spark, folder), V.hashing_encoder, 64).select("output_set", *_EXAMPLE)
+
+
+def build_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples by set and rates of the sets that training_examples and the others make."""
+    return B.build_report(plan.output_sets(_corpus(spark, folder)))
+
+
+# --- sources and sinks: written by the sink, read by the source
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4()}"
+
+
 def required_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Rows written as JSON whose target is missing, as null fields are left out."""
-    from quireflow.sources.readers import missing_fields
-
     rows = table(spark, folder, "retrieval_tokenizer").select(F.to_json(F.struct(F.col("id").alias("input_text"), F.col("text").alias("target_text"))).alias("value"), "id")
-    return missing_fields(rows).select("id", "missing")
+    return readers.missing_fields(rows).select("id", "missing")
 
 
-# --- metrics
+def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "heldout_examples").select(F.col("text").alias("input_text"), "target_text", F.col("item_id").cast("string").alias("paper_id"), "split")
+    path = _scratch(spark)
+    sinks.write_jsonl(rows, path)
+    return readers.read_jsonl(spark, path).select("paper_id", "split", "input_text", "target_text", "noise_mode")
+
+
+def tsv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    _valid(spark, folder).select(F.concat_ws("\t", T.normalize_space(F.col("article")), T.normalize_space(F.col("abstract")), F.lit("more"))).write.text(path)
+    return readers.read_tsv_papers(spark, path)
+
+
+def parquet_split(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    _papers(spark, folder).select("split", "article", "abstract").write.partitionBy("split").parquet(path)
+    return readers.read_parquet_papers(spark, path, "validation").select("article", "abstract")
+
+
+def arrow_split(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    for split in ("validation", "test"):
+        sinks.write_arrow_shards(_papers(spark, folder).where(F.col("split") == split).select("article", "abstract"), f"{path}/{split}")
+    return readers.read_arrow_papers(spark, path, "test").select("article", "abstract")
 
 
-def _scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions are the first 60 words of the article, references the abstract."""
-    return _valid(spark, folder).select("row_id", "split", P.WhitespaceTokenizer().truncate(F.col("article"), 60).alias("prediction"), F.col("abstract").alias("reference"))
+def optional_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the sets that are there, of which one is named but missing."""
+    path = _scratch(spark)
+    for split in ("validation", "test"):
+        rows = table(spark, folder, "heldout_examples").where(F.col("split") == split)
+        sinks.write_jsonl(rows.select(F.col("text").alias("input_text"), "target_text"), f"{path}/{split}")
+    found = readers.read_example_sets(spark, f"{path}/validation", f"{path}/test", {"more": f"{path}/none", "again": f"{path}/test"})
+    out = None
+    for name, rows in found.items():
+        part = rows.select(F.lit(name).alias("name"), "input_text")
+        out = part if out is None else out.union(part)
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("input_text").alias("n_texts"))
+
+
+def from_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.from_rows(spark, [{"input_text": "a", "num_chunks": 2}, {"target_text": "b"}, {}]).select("input_text", "target_text", "num_chunks")
+
+
+# --- metrics
 
 
 def _whole_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -409,7 +521,7 @@ def _whole_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rouge(n: int) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return M.rouge_n(_scored_pairs(spark, folder), "row_id", n).withColumn("score", F.round("score", 6))
+        return M.rouge_n(_whole_pairs(spark, folder), "row_id", n).withColumn("score", F.round("score", 6))
 
     return run
 
@@ -426,11 +538,48 @@ def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     return M.rouge_n(_whole_pairs(spark, folder), "row_id", 1, prepare=M.stemmed_tokens).withColumn("score", F.round("score", 6))
 
 
+def _summary(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    scores = M.rouge_scores(_whole_pairs(spark, folder), ["row_id", F.col("split").alias("eval_set")])
+    return M.metrics_summary(scores, list(names))
+
+
 def metrics_summary(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _scored_pairs(spark, folder)
-    scores = [M.rouge_n(pairs, "row_id", n).withColumnRenamed("score", f"rouge{n}") for n in (1, 2)]
-    joined = pairs.select("row_id", F.col("split").alias("eval_set")).join(scores[0], "row_id").join(scores[1], "row_id")
-    return M.metrics_summary(joined, ["rouge1", "rouge2"])
+    return _summary(spark, folder, ("rouge1", "rouge2"))
+
+
+def metrics_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All four scores by evaluation set."""
+    return _summary(spark, folder, ("rouge1", "rouge2", "rougeL", "rougeLsum"))
+
+
+def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
+    """One line for each set asked for; one of them was not evaluated."""
+    return M.report_line(M.combined_metrics(_summary(spark, folder, ("rouge1",))), ["validation", "test", "noisy"], "rouge1")
+
+
+def decoded_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of ids, which number the words of all held-out summaries in order."""
+    words = F.split(T.normalize_space(F.col("target_text")), " ")
+    rows = table(spark, folder, "heldout_examples").select("item_id", words.alias("w"))
+    known = rows.select(F.explode("w").alias("w")).agg(F.array_sort(F.collect_set("w")).alias("all"))
+    full = rows.join(F.broadcast(known))  # one row
+    ids = F.transform("w", lambda w: F.array_position("all", w).cast("int"))
+    vocabulary = F.map_from_arrays(F.sequence(F.lit(1), F.size("all")), F.col("all"))
+    return full.select("item_id", M.decoded(F.concat(F.array(F.lit(0)), ids, F.array(F.lit(-1))), vocabulary, skip=(0,)).alias("text"))
+
+
+class _Lengths:
+    """A tokenizer whose ids are the words' lengths."""
+
+    def encode(self, text: str) -> list[int]:
+        return [len(w) for w in text.split()]
+
+
+def tokenized_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of passages and summaries, truncated to 40 and 10."""
+    rows = table(spark, folder, "heldout_examples").select(T.normalize_space(F.col("text")).alias("input_text"), T.normalize_space(F.col("target_text")).alias("target_text"), "item_id")
+    done = P.tokenized(rows, _Lengths, 40, 10)
+    return done.select(F.array_join("input_ids", " ").alias("input_ids"), F.size("attention_mask").alias("n"), F.array_join("labels", " ").alias("labels"))
 
 
 def _ids() -> Column:
@@ -461,7 +610,9 @@ _QUERIES: tuple[Query, ...] = (
     pairwise_sim, mmr_select, mmr_search, negatives_random, negatives_hard, training_contexts, noise_pool, noise_percentiles, noise_bands,
     noise_fallback, noise_sample, noise_random, noisy_contexts, format_contexts, format_items, truncate_context, budget_prefix, build_input_plain,
     build_input_rag, training_examples, validation_examples, test_examples, sample_type_counts, pair_rates, required_fields, rouge_l, rouge_lsum,
-    rouge_stemmed, metrics_summary, label_unmask, gen_len, padded_batches,
+    rouge_stemmed, metrics_summary, label_unmask, gen_len, padded_batches, search_hundredth, retriever_contexts, noise_empty_pool, output_sets,
+    examples_from_papers, build_report, jsonl_round_trip, tsv_round_trip, parquet_split, arrow_split, optional_sets, from_rows, metrics_whole,
+    metrics_report, decoded_ids, tokenized_pairs,
 )
 
 

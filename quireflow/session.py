@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "quireflow") -> SparkSession:
@@ -46,6 +48,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder as Parquet, so that later reads take only the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the input tables of `folder`."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def few(df: DataFrame, most: int = 1000) -> DataFrame:
+    """`df` to be broadcast, after a check that it has no more than `most` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows can't be broadcast here")
+    return F.broadcast(df)

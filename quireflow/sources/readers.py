@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +29,12 @@ def _system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def exists(path: str) -> bool:
+    """Whether a file or directory is there, on any file system that is known by its URI."""
+    system, name = _system(path)
+    return system.get_file_info(name).type != pafs.FileType.NotFound
+
+
 def arrow_shards(path: str) -> list[str]:
     """The Arrow files of a data set's directory, in order."""
     system, name = _system(path)
@@ -39,12 +44,14 @@ def arrow_shards(path: str) -> list[str]:
 
 
 def read_arrow_papers(spark: SparkSession, directory: str, split: str | None = None) -> DataFrame:
-    """Papers of a directory of Arrow stream or file shards; with `split`, of its sub-directory if it is there.
+    """Papers of a directory of Arrow stream or file shards; with `split`, of its sub-directory, which must be there.
 
     Each shard is one task and is read batch by batch.
     """
-    if split is not None and _system(f"{directory}/{split}")[0].get_file_info(_system(f"{directory}/{split}")[1]).type == pafs.FileType.Directory:
+    if split is not None:
         directory = f"{directory}/{split}"
+        if not exists(directory):
+            raise FileNotFoundError(f"no split {split}: {directory}")
     shards = arrow_shards(directory)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,21 +108,39 @@ def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
     hit = wrong.select("file", "value").limit(1).collect()
     if not hit:
         return None
-    system, name = _system(hit[0]["file"])
-    with system.open_input_stream(name) as file:  # one file, until the line that is wrong
-        for number, line in enumerate(_lines(file), 1):
-            if line.rstrip("\r") == hit[0]["value"]:
-                return hit[0]["file"], number
-    return hit[0]["file"], 0
+    return hit[0]["file"], line_number(spark, hit[0]["file"], hit[0]["value"])
 
 
-def _lines(stream: pa.NativeFile) -> Iterator[str]:
-    rest = b""
-    while chunk := stream.read(1 << 20):
-        *whole, rest = (rest + chunk).split(b"\n")
-        yield from (line.decode("utf-8", "replace") for line in whole)
-    if rest:
-        yield rest.decode("utf-8", "replace")
+def line_number(spark: SparkSession, file: str, line: str, range_bytes: int = 64 << 20) -> int:
+    """The number from 1 of the first line of a file that reads so, 0 if none does; workers read ranges of bytes."""
+    system, name = _system(file)
+    size = system.get_file_info(name).size
+    ranges = spark.range(0, max(size, 1), range_bytes).repartition(max(1, min(1000, -(-size // range_bytes))))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for low in batch.column(0).to_pylist():
+                system, name = _system(file)
+                with system.open_input_file(name) as source:
+                    data = source.read_at(min(range_bytes, size - low), low)
+                    # the line that begins here may end beyond
+                    while low + len(data) < size and not data.endswith(b"\n") and (more := source.read_at(min(1 << 20, size - low - len(data)), low + len(data))):
+                        end = more.find(b"\n") + 1
+                        data += more[:end] if end else more
+                    before = source.read_at(1, low - 1) if low else b"\n"
+                lines = data[: min(len(data), range_bytes)].count(b"\n")
+                begun = data if before == b"\n" else data[data.find(b"\n") + 1 :] if b"\n" in data else b""
+                skipped = data[: len(data) - len(begun)].count(b"\n")
+                found = next((k for k, x in enumerate(begun.split(b"\n")) if x.decode("utf-8", "replace").rstrip("\r") == line), None)
+                rows.append((low, lines, None if found is None else skipped + found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["low", "lines", "found"])
+
+    rows = ranges.mapInArrow(look, "low long, lines long, found long")
+    hit = rows.where("found is not null").orderBy("low").limit(1).collect()
+    if not hit:
+        return 0
+    return (rows.where(F.col("low") < hit[0]["low"]).agg(F.sum("lines")).first()[0] or 0) + hit[0]["found"] + 1
 
 
 def missing_fields(lines: DataFrame, required: tuple[str, ...] = ("input_text", "target_text")) -> DataFrame:
@@ -134,7 +159,7 @@ def ensure_required_fields(spark: SparkSession, path: str, required: tuple[str,
 
 def read_example_sets(spark: SparkSession, train: str, valid: str, optional: dict[str, str | None] | None = None) -> dict[str, DataFrame]:
     """Examples by set name; train and valid must be there, optional sets only if their path is given and exists."""
-    paths = {"train": train, "valid": valid} | {k: v for k, v in (optional or {}).items() if v and os.path.exists(v)}
+    paths = {"train": train, "valid": valid} | {k: v for k, v in (optional or {}).items() if v and exists(v)}
     for path in paths.values():
         ensure_required_fields(spark, path)
     return {name: read_jsonl(spark, path) for name, path in paths.items()}
