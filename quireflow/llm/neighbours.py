@@ -21,6 +21,7 @@ from quireflow.session import checkpointed
 
 MOST_SAMPLED = 400_000  # vectors the centroids are fitted on, chosen by a hash of their id
 MOST_LISTS = 65_536  # about the square root of the number of vectors; a bound on what is broadcast
+_LEAST = 256  # vectors a list has on average at least, as smaller ones save no work
 _SAMPLE = 16  # sampled vectors a list
 _ROUNDS = 6  # of k-means
 _ROWS = 512  # vectors that are compared with all centroids at once
@@ -95,7 +96,7 @@ def _means(sample: np.ndarray, count: int) -> np.ndarray:
 
 def _fitted(vectors: DataFrame, count: int, size: int, lists: int | None) -> np.ndarray:
     """Centroids fitted on a bounded sample."""
-    wanted = int(np.clip(round(count**0.5) if lists is None else lists, 1, MOST_LISTS))
+    wanted = int(np.clip(min(count**0.5, count / _LEAST) if lists is None else lists, 1, MOST_LISTS))
     rows = vectors.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(min(MOST_SAMPLED, _SAMPLE * wanted)).select("vec").toArrow()
     return _means(_unpacked(rows["vec"].combine_chunks(), size).astype(np.float32).reshape(-1, size), wanted)
 
@@ -274,7 +275,8 @@ def nearest(df: DataFrame, id_column: str, vector_column: str, size: int, k: int
     NaN or infinite number or only zeros takes no part.  Fewer than k come out
     where there are no more.  Centroids are fitted on a bounded sample, every
     vector is indexed and asked; what lies in lists that aren't probed can be
-    missed.  `lists` is about the square root of the number of vectors unless given.  Equal vectors are searched once: at most k + 1 of the least ids of
+    missed.  `lists` is about the square root of the number of vectors, or fewer so
+    that a list has enough of them, unless given.  Equal vectors are searched once: at most k + 1 of the least ids of
     a group of copies can be anyone's neighbours, and each copy gets its own
     rows.  Ids must be unique; other columns are not read.
     """
