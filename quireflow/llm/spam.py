@@ -44,6 +44,7 @@ _CLASSES = 512
 _BINS, _BIN_WIDTH = 1024, 0.025  # of bits a token
 _LOWEST, _HIGHEST = 0.001, 0.98  # shares of prose that bound its band
 _PRIVATE = {0xE100 + k: "�" for k in range(8)}
+_OWN = regex.compile("[\ue100-\ue107]")
 _LINK, _TAG, _MARKUP, _PRICE, _ANCHOR = (chr(0xE100 + k) for k in range(5))
 # classes: function words, then shapes, then masks, then other characters
 _SHAPE = 200  # more than there are function words
@@ -63,7 +64,9 @@ _AMOUNT = regex.compile(r"\b\d++(?:[.,]\d{2})?\s?(?:EUR|USD|GBP|CHF|€|\$|£)|[
 
 def _mask(text: str | None) -> str:
     """The text with links, link texts, tags and prices as one private character each; link texts keep their number of words."""
-    text = (text or "").translate(_PRIVATE)
+    text = text or ""
+    if _OWN.search(text):
+        text = text.translate(_PRIVATE)
 
     def anchor(match: regex.Match) -> str:
         return " " + f"{_ANCHOR} " * max(1, len(_HTML.sub(" ", match[1]).split()))
@@ -129,7 +132,7 @@ def tokens(texts: list[str | None]) -> Tokens:
     words = _words_sorted()
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
     function = np.where(words[at] == hashes, at, -1)
-    counted = np.concatenate([np.zeros((3, 1), dtype=np.int64), np.cumsum([kind == 1, kind == 4, (kind == 3) | (kind == 5)], axis=1)], axis=1)
+    counted = np.concatenate([np.zeros((3, 1), dtype=np.int32), np.cumsum([kind == 1, kind == 4, (kind == 3) | (kind == 5)], axis=1, dtype=np.int32)], axis=1)
     upper, digit, other = counted[:, ends] - counted[:, starts]
     size = ends - starts
     script = np.where(other > 0, np.where(kind[starts] == 5, 2, 1), 0) if len(starts) else np.zeros(0, dtype=np.int64)
