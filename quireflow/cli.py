@@ -7,8 +7,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,7 @@ from quireflow.functions.vectors import hashing_encoder
 from quireflow.operators import metrics as M
 from quireflow.plans.build import BuildOptions, build_report, examples_from_papers, numbered_papers
 from quireflow.sources import readers, sinks
+from quireflow.sources.models import factory, load_model
 
 SPLITS = ("train", "validation", "test")
 FORMATS = ("arrow", "parquet", "tsv")
@@ -32,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--papers", required=True, help="a directory with one sub-directory or file for each split")
     build.add_argument("--format", choices=FORMATS, default="arrow")
     build.add_argument("--out", required=True)
-    build.add_argument("--encoder", help="module:factory; the factory returns a function from texts to a matrix. Without it words are hashed")
+    build.add_argument("--encoder", help="a saved model's directory or module:factory, which returns a function from texts to a matrix. Without it words are hashed")
     build.add_argument("--dimensions", type=int, default=64)
     for name in ("train", "valid", "test"):
         build.add_argument(f"--{name}-limit", type=int)
@@ -53,14 +52,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def factory(name: str) -> Callable:
-    """What module:attribute names; also a way to load a model from a path, which a partial of a factory can hold."""
-    module, _, attribute = name.partition(":")
-    if not attribute:
-        raise ValueError("name a factory as module:attribute")
-    return getattr(importlib.import_module(module), attribute)
-
-
 def read_papers(spark: SparkSession, directory: str, kind: str) -> DataFrame:
     """Numbered papers of all splits."""
     parts = []
@@ -80,7 +71,9 @@ def build(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     options = BuildOptions(
         args.train_limit, args.valid_limit, args.test_limit, args.final_k, args.noise_k, args.min_chunks, args.single_query, not args.no_shuffle, args.pool_limit, args.train_mode, args.seed, args.encode_batch
     )
-    make = factory(args.encoder) if args.encoder else partial(hashing_encoder, args.dimensions)
+    make = partial(hashing_encoder, args.dimensions)
+    if args.encoder:
+        make = load_model(args.encoder) if readers.exists(f"{args.encoder.rstrip('/')}/model.json") else factory(args.encoder)
     sinks.write_output_sets(examples_from_papers(read_papers(spark, args.papers, args.format), make, args.dimensions, options), args.out)
     written = spark.read.schema(T.StructType([*readers.EXAMPLE.fields, T.StructField("output_set", T.StringType())])).json(args.out)
     return build_report(written).orderBy("line")

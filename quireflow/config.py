@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults of all settings.
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
     heading_max_chars: int = 120

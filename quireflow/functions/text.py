@@ -16,6 +16,7 @@ from quireflow.config import QUERY_TEMPLATES, ChunkConfig
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\x{b}\x{c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# Fixed value: how a numbered heading is written.
 NUMBERED = r"^((\p{Nd}+(\.\p{Nd}+){0,3})|([IVXLCDM]+))[\.\)\:]?\s+([A-Za-z].+)$"
 # Titles that are headings by themselves.
 SECTION_TITLES = (

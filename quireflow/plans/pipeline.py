@@ -18,7 +18,7 @@ from quireflow.functions.vectors import dot_products
 from quireflow.operators import noise as N
 from quireflow.operators import prompts as P
 from quireflow.operators import retrieval as R
-from quireflow.session import checkpointed, few
+from quireflow.session import checkpointed, few, stored
 
 
 MOST_TEMPLATES = 1000  # templates of queries, which are broadcast
@@ -44,9 +44,9 @@ class Settings:
 
 
 def documents(corpus: Corpus) -> DataFrame:
-    """Chunks with text that isn't blank: (…, section, text)."""
-    full = corpus.texts.where(T.safe_strip(F.col("text")) != "")
-    return corpus.chunks.join(full, "chunk_gid")
+    """Chunks whose text isn't blank; texts themselves are joined at the end, for the few contexts of a prompt."""
+    full = corpus.texts.where(T.safe_strip(F.col("text")) != "").select("chunk_gid")
+    return corpus.chunks.join(full, "chunk_gid", "left_semi")
 
 
 def papers(docs: DataFrame, chunks: DataFrame, settings: Settings, min_chunks: int) -> DataFrame:
@@ -103,7 +103,7 @@ def build_split(corpus: Corpus, split: str, modes: tuple[str, ...], settings: Se
         N.check_mode(mode)
     own = Corpus(corpus.chunks.where(F.col("split") == split), corpus.texts, corpus.targets, corpus.templates)
     # each is read several times below; cut here, the plans stay small
-    docs = checkpointed(documents(own))
+    docs = stored(documents(own))
     used = checkpointed(papers(docs, own.chunks, settings, 1 if split == "test" else settings.chunk.min_chunks))
     config = settings.retrieval if modes else RetrievalConfig(settings.retrieval.final_k, 0, settings.retrieval.mmr_lambda, settings.retrieval.dimensions)
     picks = clean_picks(docs, used, corpus, config)

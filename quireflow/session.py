@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not (context.master or "").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-checkpoint-"))
+    folder = tempfile.mkdtemp(prefix="quireflow-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

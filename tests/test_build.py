@@ -16,7 +16,7 @@ from quireflow.operators import metrics as M
 from quireflow.operators import retrieval as R
 from quireflow.plans import build as B
 from quireflow.session import few
-from quireflow.sources import readers, sinks
+from quireflow.sources import models, readers, sinks
 
 
 def article(k):
@@ -75,6 +75,16 @@ def encoder():
     return V.hashing_encoder(16)
 
 
+def test_models_by_path(tmp_path):
+    models.save_model(str(tmp_path / "m"), "quireflow.functions.vectors:hashing_encoder", size=16)
+    made = models.load_model(str(tmp_path / "m"))()
+    assert (made(["a b"]) == V.hashing_encoder(16)(["a b"])).all()
+    with pytest.raises(ValueError):
+        models.save_model(str(tmp_path / "n"), "nowhere")
+    with pytest.raises(FileNotFoundError):
+        models.load_model(str(tmp_path / "n"))
+
+
 def test_arrow_and_tsv_papers_by_command_line(spark, tmp_path):
     rows = papers(spark, {"train": 2, "validation": 1, "test": 1})
     for split in cli.SPLITS:
