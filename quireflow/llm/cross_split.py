@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.pairs import string_values, verified
+from quireflow.llm.pairs import bounded, string_values, verified
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
@@ -41,7 +41,7 @@ def shingle_ranks(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_SKETCH, dtype=np.uint32)
-        for batch in batches:
+        for batch in bounded(batches, 0):
             flat, _, _ = distinct_shingles(string_values(batch.column(0)), width, least_tokens)
             cells, n = np.unique(flat % np.uint64(_SKETCH), return_counts=True)
             counts[cells.astype(np.int64)] += n.astype(np.uint32)
@@ -77,7 +77,7 @@ def _prefixes(texts: DataFrame, width: int, least_tokens: int, threshold: float,
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts_here = string_values(batch.column(1))
             one, two = signatures(*token_hashes(texts_here))
             flat, offsets, _ = distinct_shingles(texts_here, width, least_tokens)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.pairs import string_values
+from quireflow.llm.pairs import bounded, string_values
 from quireflow.llm.tokens import code_points, token_hashes, token_spans
 
 _MOST_PATTERNS = 400_000  # in one automaton, which bounds what is broadcast; more items are scanned for in blocks
@@ -157,7 +157,7 @@ def _scan(source: DataFrame, automaton: Automaton) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value.compiled()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = string_values(batch.column(1))
             rows = sorted(shared.value.scan(machine, texts))
             spans = [original_span(texts[k] or "", first, last) for k, _, first, last in rows]

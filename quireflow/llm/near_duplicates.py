@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.cross_split import shingle_ranks
-from quireflow.llm.pairs import Bloom, components, string_values, verified
+from quireflow.llm.pairs import Bloom, bounded, components, string_values, verified
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
@@ -51,7 +51,7 @@ def fingerprints(df: DataFrame, width: int, least_tokens: int, prints: int) -> D
     factors = _multipliers(prints * _SYMBOLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = string_values(batch.column(1))
             one, two = signatures(*token_hashes(texts))
             flat, at, n_tokens = distinct_shingles(texts, width, least_tokens)
@@ -273,7 +273,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
     counts = context.broadcast(shingle_ranks(some, width, least_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
             flat, offsets, _ = distinct_shingles(string_values(batch.column(2)), width, least_tokens)
             within = mix(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.tokens import distinct_shingles
 from quireflow.session import checkpointed
 
+_SLICE_BYTES = 8 << 20
 _BLOOM_WORDS = 1 << 18  # 64-bit words; 2 MB, whatever the number of ids
 
 
@@ -48,6 +50,19 @@ class Bloom:
         return ((word >> np.mod(hashed >> 20, 64)) & (word >> np.mod(hashed >> 32, 64)) & 1).astype(bool)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of bytes in a column of texts; a longer text is a slice alone.
+
+    What is computed for a slice at once takes many times its texts' memory.
+    """
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // _SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def string_values(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 
@@ -61,7 +76,7 @@ def shingle_sets(df: DataFrame, width: int, least_tokens: int, ids: DataFrame |
     shared = df.sparkSession.sparkContext.broadcast(Bloom.of(ids, "id")) if ids is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             if shared is not None:
                 keep = shared.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False))
                 batch = batch.filter(pa.array(keep))

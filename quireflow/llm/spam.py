@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.pairs import string_values
+from quireflow.llm.pairs import bounded, string_values
 from quireflow.llm.tokens import code_points, mix, range_hashes
 
 # Common function words of several languages, each a class of its own.
@@ -228,7 +228,7 @@ def train(prose: DataFrame) -> Model:
     """
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 0):
             found = tokens(string_values(batch.column(0))).classes
             two, one = _before(found)
             codes, n = np.unique((two * _CLASSES + one) * _CLASSES + found, return_counts=True)
@@ -245,7 +245,7 @@ def train(prose: DataFrame) -> Model:
     shared = prose.sparkSession.sparkContext.broadcast(Model(codes, *_surprise(codes, n, 1.0), nowhere, nowhere + np.inf))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 0):
             bits, words, _, script, _ = shared.value.stretches(string_values(batch.column(0)))
             cell = np.minimum(bits / _BIN_WIDTH, _BINS - 1).astype(np.int64) + script * _BINS
             cells, n = np.unique(cell[words > 0], return_counts=True)
@@ -275,7 +275,7 @@ def spam_pages(documents: DataFrame, id_column: str, text_column: str, model: Mo
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             share, bits = shared.value.abnormal(string_values(batch.column(1)))
             keep = pa.array(share > least_share)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(share).filter(keep), pa.array(bits).filter(keep)], names=["id", "share", "bits"])
