@@ -205,3 +205,26 @@ def test_recall_with_a_thousand_lists(spark):
         s[i] = -2
         hits += len(set(np.argsort(-s)[:10].tolist()) & found[i])
     assert hits >= 0.9 * 1200
+
+
+def test_the_exact_join_misses_nothing_and_passes_over_a_common_passage(spark):
+    from quireflow.llm.near_duplicates import unproven_pairs
+    from quireflow.llm.pairs import verified
+
+    rng = random.Random(21)
+    values = X.family(1, 6)
+    for _ in range(30):
+        base = X.prose(rng, 60)
+        values += [base, f"{base} {X.prose(rng, rng.randrange(10, 60))}"]
+    shared = X.prose(rng, 62)
+    values += [f"{shared} {X.prose(rng, 30)}" for _ in range(30)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(values)], "id long, text string, within long").where("text is not null")
+    none = spark.createDataFrame([], "id long, root long")
+    for threshold, width in ((0.5, 3), (0.8, 5)):
+        found = unproven_pairs(df, df.select("id"), none, width, 20, threshold)
+        sure = {(r.a, r.b) for r in verified(found, df, width, 20, threshold).collect()}
+        assert sure == {(i, j) for j in range(len(values)) for i in range(j) if X.similarity(values[i], values[j], width) >= threshold}
+    # half of each of these texts is one passage, which alone is too little; no pair is made of it
+    passage = X.prose(rng, 200)
+    many = spark.createDataFrame([(i, f"{passage} {X.prose(rng, 190)}", 0) for i in range(500)], "id long, text string, within long")
+    assert unproven_pairs(many, many.select("id"), none, 3, 20, 0.5).count() == 0
