@@ -218,7 +218,18 @@ P8_SQL = f"""WITH source AS (SELECT 'd' AS kind, doc_id AS id, text FROM documen
  runs AS (SELECT kind, id, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(t) - 10)) AS i FROM tokens WHERE len(t) >= 12))
  SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM runs a JOIN runs b USING (run) WHERE a.kind = 'd' AND b.kind = 'i'"""
 
+_WORD = "[\\p{L}\\p{M}\\p{N}]+"
+P8_PASSAGES_SQL = f"""WITH tokens AS (SELECT doc_id AS doc, {_TOKENS} AS t FROM documents),
+ items AS (SELECT item_id AS item, text FROM heldout_examples UNION ALL SELECT item_id, target_text FROM heldout_examples),
+ wanted AS (SELECT DISTINCT item, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT item, t, unnest(range(1, len(t) - 10)) AS i FROM (SELECT item, {_TOKENS} AS t FROM items) WHERE len(t) >= 12)),
+ runs AS (SELECT doc, i - 1 AS k, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT doc, t, unnest(range(1, len(t) - 10)) AS i FROM tokens WHERE len(t) >= 12)),
+ hits AS (SELECT DISTINCT doc, item, k FROM runs JOIN wanted USING (run)),
+ islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc, item ORDER BY k) AS g FROM hits),
+ passages AS (SELECT doc, item, min(k) AS first, max(k) + 12 AS last FROM islands GROUP BY doc, item, g),
+ cut AS (SELECT doc_id AS doc, list_transform(string_split_regex(lower(text), '{_WORD}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(lower(text), '{_WORD}'), lambda x: length(x)) AS words FROM documents WHERE doc_id IN (SELECT doc FROM passages))
+ SELECT doc, item, first, last, (list_sum(gaps[1:first + 1]) + coalesce(list_sum(words[1:first]), 0))::BIGINT AS start_pos, (list_sum(gaps[1:last]) + list_sum(words[1:last]))::BIGINT AS end_pos FROM passages JOIN cut USING (doc)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The neighbours' SQL is exact; the query can miss a neighbour in a list that isn't probed."""
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_counts": P6_COUNTS_SQL, "p8_found": P8_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_counts": P6_COUNTS_SQL, "p8_found": P8_SQL, "p8_passages": P8_PASSAGES_SQL}
