@@ -3,14 +3,12 @@
 An exact prefix-filter join of two sides.  Shingles are ordered by how many
 evaluation texts hold them, rarest first, so a training text begins with the
 shingles no evaluation text has.  Two texts of similarity t or more share a
-shingle of their prefixes; evaluation prefixes are indexed, training prefixes
-probe the index, and the length and the position filter drop pairs before the
-overlap is counted on whole sets.
+shingle of their prefixes.  The prefixes of both sides meet under the length
+and the position filter, and the overlap of what is left is counted on whole sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,54 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.pairs import bounded, string_values, verified
+from quireflow.llm.prefixes import SKETCH, prefix_join, shingle_ranks
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
-_SKETCH = 1 << 24  # cells of one byte: 16 MB, whatever the number of texts
-_SEGMENT = 1 << 16
-
-
-def _packed(at: int, counts: np.ndarray) -> pa.RecordBatch:
-    data = pa.compress(counts.tobytes(), "zstd", asbytes=True)
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["segment", "counts"])
-
-
-def shingle_ranks(texts: DataFrame, width: int, least_tokens: int) -> np.ndarray:
-    """How common the shingles of each cell are: 0 for none, 1 for one text, and 8 more each time their number doubles.
-
-    A fixed size.  Counts are exact until they are ranked at the end, so that
-    the commonest shingles are last in the order.  Shingles that fall together
-    only move later in it, which any total order may do without losing a pair.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_SKETCH, dtype=np.uint32)
-        for batch in bounded(batches, 0):
-            flat, _, _ = distinct_shingles(string_values(batch.column(0)), width, least_tokens)
-            cells, n = np.unique(flat % np.uint64(_SKETCH), return_counts=True)
-            counts[cells.astype(np.int64)] += n.astype(np.uint32)
-        parts = counts.reshape(-1, _SEGMENT)
-        for at in np.flatnonzero(parts.any(axis=1)).tolist():
-            yield _packed(at, parts[at])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(pa.decompress(packed, 4 * _SEGMENT, "zstd", asbytes=True), dtype=np.uint32)
-                held[at] = held.get(at, np.zeros(_SEGMENT, dtype=np.uint64)) + counts
-        for at, counts in held.items():
-            ranks = np.where(counts > 0, 1 + np.round(8 * np.log2(np.maximum(counts, 1))), 0)
-            yield _packed(at, np.minimum(ranks, 255).astype(np.uint8))
-
-    kind = "segment int, counts binary"
-    rows = texts.select("text").mapInArrow(run, kind).repartition("segment").mapInArrow(add, kind).toArrow()  # at most 16 MB
-    out = np.zeros(_SKETCH, dtype=np.uint8)
-    for at, packed in zip(rows["segment"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        out[at * _SEGMENT : (at + 1) * _SEGMENT] = np.frombuffer(pa.decompress(packed, _SEGMENT, "zstd", asbytes=True), dtype=np.uint8)
-    return out
-
-
 def _prefixes(texts: DataFrame, width: int, least_tokens: int, threshold: float, sketch: np.ndarray) -> DataFrame:
     """(id, held_out, sig, sig2, n, shingles, places) of each usable text.
 
@@ -84,7 +38,7 @@ def _prefixes(texts: DataFrame, width: int, least_tokens: int, threshold: float,
             within = mix(batch.column(3).to_numpy().view(np.uint64))
             sizes = np.diff(offsets)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            rank = shared.value[(flat % np.uint64(_SKETCH)).astype(np.int64)]
+            rank = shared.value[(flat % np.uint64(SKETCH)).astype(np.int64)]
             order = np.lexsort((flat, rank, owner))
             flat, rank = flat[order], rank[order]
             place = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
@@ -134,21 +88,7 @@ def overlaps(
     # copies have the same prefix; the least of them is indexed or probes for all
     least = rows.groupBy(*key).agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("places").alias("places"))
     members = rows.select("id", *key).join(least.select("least", *key), key).select("id", "least", "held_out")
-    entries = least.select("held_out", "least", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select("held_out", "least", "n", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("at"))
-    index = entries.where("held_out").select("shingle", F.col("least").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
-    probe = entries.where("not held_out").select("shingle", F.col("least").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
-    # a shared prefix shingle leaves room for at most the rest of either set
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    # past the prefix of the set whose prefix ends first, only the rest of that set can be shared
-    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(n) - F.lit(1e-9)) - 1 for n in ("n_a", "n_b")])
-    pairs = (
-        probe.join(index, "shingle")
-        .where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9))
-        .groupBy("a", "b", "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("shared"), F.max(room).alias("room"))
-        .where((F.col("room") >= need) & (F.col("shared") + rest >= need))
-        .select("a", "b")
-    )
+    entries = least.select(F.col("held_out").cast("long").alias("root"), F.col("least").alias("id"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
+    pairs = prefix_join(entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at")), threshold)
     links = verified(checkpointed(pairs), texts, width, least_tokens, threshold)
     return links.select(F.col("a").alias("train"), F.col("b").alias("held_out"), "similarity"), members

@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.cross_split import shingle_ranks
 from quireflow.llm.pairs import Bloom, bounded, components, string_values, verified
+from quireflow.llm.prefixes import prefix_join, shingle_ranks
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
 _NEAR = 12  # a bucket of more than one beyond it is crowded
-_BLOCK_PAIRS = 1 << 20  # pairs of a bucket that are compared at once
 _SYMBOLS = 4  # of a fingerprint
 _MEETINGS = 2  # variants that a candidate pair shares at least
 _DEVIATIONS = 4.5  # below the expected agreement of symbols at which a pair is dropped
@@ -296,79 +295,14 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
     return rows.mapInArrow(run, "id long, n int, shingles array<long>, places array<int>")
 
 
-def _largest_partner(n: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
-    """The largest set that a set of n can reach the threshold with if the first shingle they share stands at this place."""
-    return np.floor((n - at) * (1 + threshold) / threshold - n + 1e-9).astype(np.int64)
-
-
-def _meetings(held: list[np.ndarray], asks: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i of asks, j of held) that have a shingle in common, are in different groups and may be similar by size; j is not the larger.
-
-    Both are lists (key, root, id, n, at).  Of a shingle's held rows only the
-    range of sizes that fits is passed over, and where most of them are of the
-    asking row's own group, only the others.
-    """
-    (key, root, _, n, _), (key_a, root_a, _, n_a, at_a) = held, asks
-    order = np.lexsort((n, key))
-    keys, segment = np.unique(key[order], return_inverse=True)
-    if not len(keys) or not len(key_a):
-        return
-    where = np.minimum(np.searchsorted(keys, key_a), len(keys) - 1)
-    there = keys[where] == key_a
-    # the commonest group of each shingle's held rows
-    runs, counts = np.unique(np.stack([segment, root[order]]), axis=1, return_counts=True)
-    by_count = np.lexsort((counts, runs[0]))
-    common = runs[1][by_count[np.append(np.flatnonzero(np.diff(runs[0][by_count])), len(by_count) - 1)]]
-    low = np.ceil(threshold * n_a - 1e-9).astype(np.int64)
-    high = np.minimum(_largest_partner(n_a, at_a, threshold), n_a)
-    other = root[order] != common[segment]
-    for rows, mine in ((order, there & (root_a != common[where])), (order[other], there & (root_a == common[where]))):
-        place = (segment if len(rows) == len(order) else segment[other]) * (1 << 32) + n[rows]
-        todo = np.flatnonzero(mine & (high >= low))
-        first = np.searchsorted(place, where[todo] * (1 << 32) + low[todo])
-        size = np.searchsorted(place, where[todo] * (1 << 32) + high[todo], side="right") - first
-        total = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
-        for at in range(0, int(total[-1]), _BLOCK_PAIRS):
-            k = np.arange(at, min(at + _BLOCK_PAIRS, int(total[-1])))
-            row = np.searchsorted(total, k, side="right") - 1
-            yield todo[row], rows[first[row] + k - total[row]]
-
-
 def unproven_pairs(texts: DataFrame, ids: DataFrame, roots: DataFrame, width: int, least_tokens: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of `ids` in different groups that may reach the threshold; none that does is missing.
+    """Pairs (a, b) of `ids` in different groups that may reach the threshold; none that does is missing.
 
     `roots` (id, root) are the groups so far; an id without one is its own.
-    Sets ask for partners no larger than they are by all shingles of their
-    prefix; they are held by those of the shorter prefix in which the first
-    one that is shared with a larger set must stand.  So a passage that very
-    many texts share, which stands behind their own words, is asked for but
-    hardly held.
     """
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old = [np.zeros(0, dtype=np.int64) for _ in range(6)]
-        for batch in batches:
-            rows = [np.concatenate([o, c.to_numpy()]) for o, c in zip(old, batch.columns, strict=True)]
-            held, asks = ([x[rows[1] == role] for x in (rows[0], *rows[2:])] for role in (0, 1))
-            for i, j in _meetings(held, asks, threshold):
-                near = (held[1][j] != asks[1][i]) & ((held[3][j] < asks[3][i]) | (held[2][j] < asks[2][i]))
-                i, j = i[near], j[near]
-                need = np.ceil(threshold / (1 + threshold) * (asks[3][i] + held[3][j]) - 1e-9)
-                fits = np.minimum(asks[3][i] - asks[4][i], held[3][j] - held[4][j]) >= need
-                a, b = asks[2][i[fits]], held[2][j[fits]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            if len(rows[0]):
-                # held rows of the last shingle meet what asks for it in the next batch
-                last = (rows[0] == rows[0][-1]) & (rows[1] == 0)
-                old = [x[last] for x in rows]
-
     rows = _prefixes(texts, ids, width, least_tokens, threshold).join(ids, "id", "left_semi").join(roots, "id", "left")
     entries = rows.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
-    entries = entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at"))
-    shorter = F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - F.lit(1e-9))
-    roles = F.when(F.col("at") <= shorter, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))).cast("array<long>")
-    both = entries.select("key", F.explode(roles).alias("role"), "root", "id", "n", "at")
-    return both.repartition("key").sortWithinPartitions("key", "role").mapInArrow(meet, "a long, b long").distinct()
+    return prefix_join(entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at")), threshold)
 
 
 def near_duplicates(

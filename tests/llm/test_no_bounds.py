@@ -220,9 +220,12 @@ def test_the_exact_join_misses_nothing_and_passes_over_a_common_passage(spark):
     values += [f"{shared} {X.prose(rng, 30)}" for _ in range(30)]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(values)], "id long, text string, within long").where("text is not null")
     none = spark.createDataFrame([], "id long, root long")
-    for threshold, width in ((0.5, 3), (0.8, 5)):
+    for threshold, width, rows in ((0.5, 3, 10_000), (0.8, 5, 10_000), (0.5, 3, 7)):
+        # shingles that go on over several batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         found = unproven_pairs(df, df.select("id"), none, width, 20, threshold)
         sure = {(r.a, r.b) for r in verified(found, df, width, 20, threshold).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
         assert sure == {(i, j) for j in range(len(values)) for i in range(j) if X.similarity(values[i], values[j], width) >= threshold}
     # half of each of these texts is one passage, which alone is too little; no pair is made of it
     passage = X.prose(rng, 200)
