@@ -3,8 +3,10 @@
 An exact prefix-filter join of two sides.  Shingles are ordered by how many
 evaluation texts hold them, rarest first, so a training text begins with the
 shingles no evaluation text has.  Two texts of similarity t or more share a
-shingle of their prefixes.  The prefixes of both sides meet under the length
-and the position filter, and the overlap of what is left is counted on whole sets.
+shingle of their prefixes; evaluation prefixes are indexed, training prefixes
+probe the index, and the length filter, the position filter and a bound from the
+number of shared prefix shingles drop pairs before the overlap is counted on
+whole sets.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.pairs import bounded, string_values, verified
-from quireflow.llm.prefixes import SKETCH, prefix_join, shingle_ranks
+from quireflow.llm.prefixes import SKETCH, shingle_ranks
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
 from quireflow.session import checkpointed
 
@@ -88,7 +90,21 @@ def overlaps(
     # copies have the same prefix; the least of them is indexed or probes for all
     least = rows.groupBy(*key).agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("places").alias("places"))
     members = rows.select("id", *key).join(least.select("least", *key), key).select("id", "least", "held_out")
-    entries = least.select(F.col("held_out").cast("long").alias("root"), F.col("least").alias("id"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
-    pairs = prefix_join(entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at")), threshold)
+    entries = least.select("held_out", "least", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select("held_out", "least", "n", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("at"))
+    index = entries.where("held_out").select("shingle", F.col("least").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    probe = entries.where("not held_out").select("shingle", F.col("least").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
+    # a shared prefix shingle leaves room for at most the rest of either set
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # past the prefix of the set whose prefix ends first, only the rest of that set can be shared
+    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(n) - F.lit(1e-9)) - 1 for n in ("n_a", "n_b")])
+    pairs = (
+        probe.join(index, "shingle")
+        .where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9))
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(room).alias("room"))
+        .where((F.col("room") >= need) & (F.col("shared") + rest >= need))
+        .select("a", "b")
+    )
     links = verified(checkpointed(pairs), texts, width, least_tokens, threshold)
     return links.select(F.col("a").alias("train"), F.col("b").alias("held_out"), "similarity"), members
