@@ -88,8 +88,10 @@ def overlaps(
     rows = checkpointed(_prefixes(texts, width, least_tokens, threshold, sketch))
     key = ["held_out", "sig", "sig2"]
     # copies have the same prefix; the least of them is indexed or probes for all
-    least = rows.groupBy(*key).agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("places").alias("places"))
-    members = rows.select("id", *key).join(least.select("least", *key), key).select("id", "least", "held_out")
+    repeated = rows.groupBy(*key).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = checkpointed(rows.select("id", *key).join(repeated, key).select("id", "least"))
+    members = rows.select("id", "held_out").join(copies, "id", "left").select("id", F.coalesce("least", "id").alias("least"), "held_out")
+    least = rows.join(copies.where("id > least"), "id", "left_anti").withColumnRenamed("id", "least")
     entries = least.select("held_out", "least", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select("held_out", "least", "n", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("at"))
     index = entries.where("held_out").select("shingle", F.col("least").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
     probe = entries.where("not held_out").select("shingle", F.col("least").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
