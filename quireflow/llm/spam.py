@@ -41,6 +41,7 @@ _FEW = 10  # a stretch with more function words than one in so many is a sentenc
 _STRETCH = 16  # tokens scored together
 _RECENT = 256  # tokens within which a pair of words counts as repeated
 _CLASSES = 512
+_MOST_BITS = 5.0  # a token counts no more, so that a few odd characters don't make a sentence abnormal
 _BINS, _BIN_WIDTH = 1024, 0.025  # of bits a token
 _LOWEST, _HIGHEST = 0.001, 0.98  # shares of prose that bound its band
 _PRIVATE = {0xE100 + k: "�" for k in range(8)}
@@ -190,6 +191,7 @@ class Model:
         code = (two * _CLASSES + one) * _CLASSES + found
         at = np.minimum(np.searchsorted(self.trigrams, code), max(0, len(self.trigrams) - 1))
         bits = np.where(self.trigrams[at] == code, self.bits[at], self.back[one, found] + 1.0) if len(self.trigrams) else self.back[one, found]
+        bits = np.minimum(bits, _MOST_BITS)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         within = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
         stretch = np.cumsum(within % _STRETCH == 0) - 1
