@@ -16,7 +16,8 @@ an exact prefix-filter join, so that no link is lost to a bucket's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quireflow.llm.pairs import Bloom, bounded, components, string_values, verified
 from quireflow.llm.prefixes import prefix_join, shingle_ranks
 from quireflow.llm.tokens import distinct_shingles, mix, signatures, token_hashes
-from quireflow.session import checkpointed
+from quireflow.session import checkpointed, released
 
 _NEAR = 12  # a bucket of more than one beyond it is crowded
 _SYMBOLS = 4  # of a fingerprint
@@ -34,6 +35,9 @@ _MEETINGS = 2  # variants that a candidate pair shares at least
 _DEVIATIONS = 4.5  # below the expected agreement of symbols at which a pair is dropped
 _KEY_BYTES = 6  # of a variant; keys that fall together only make candidates that fail later
 _PART_ENTRIES = 1_000_000  # of variants that a task sorts at once
+_LEAST_SLICE = 1_000_000  # pairs that are compared at once, also of fewer rows
+_SHARE = 32  # one in so many rows tells how many shingles there are
+_ROW_MEETINGS = 40  # meetings, or shingles of the exact join, that are shuffled at once for each row
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -73,12 +77,12 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _variants(fp: pa.Array, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all variants of each row's fingerprints, and the row each belongs to."""
+def _variants(fp: pa.Array, within: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all variants of each row's fingerprints, or of the first `most` of these, and the row each belongs to."""
     n = len(fp)
     symbols = np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint16).reshape(n, -1, _SYMBOLS).astype(np.uint64) if n else np.zeros((0, 1, _SYMBOLS), dtype=np.uint64)
     out = []
-    for p in range(symbols.shape[1]):
+    for p in range(symbols.shape[1] if most is None else most):
         for masked in range(_SYMBOLS):
             key = np.full(n, p * _SYMBOLS + masked, dtype=np.uint64)
             for k in range(_SYMBOLS):
@@ -130,6 +134,18 @@ def _unpack(data: bytes, n: int, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
+def _ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of the ranges that ascending keys fall into; equal shares of all keys."""
+    part = ((keys >> np.uint64(8 * _KEY_BYTES - 32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist() if len(part) else [0]
+    return [(int(part[x]), x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, the first one whole; they take fewer bytes than the numbers."""
+    return np.diff(ascending, prepend=np.zeros(1, dtype=np.uint64))
+
+
 def _groups_of(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys and members in order, whether a row is the first of its bucket, and the size of its bucket."""
     order = np.lexsort((members, keys))
@@ -140,35 +156,39 @@ def _groups_of(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, members, first, np.bincount(group)[group] if len(keys) else group
 
 
-def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids whose fingerprints share a variant; a crowded bucket's key comes as (key, null).
+def _meetings(texts: DataFrame, parts: int, slices: int = 1, here_of: int = 0, most: int | None = None) -> DataFrame:
+    """(a, b, n): pairs of ids, a < b, that share n variants in one part or block, and crowded buckets' keys as (key, null, null).
 
-    A task first combines its own buckets: of a crowded one only the least
+    Only pairs of one slice come out, and the keys with the first; with `most`
+    only variants of so many fingerprints are made.  A task first combines its own buckets: of a crowded one only the least
     member goes on, paired with the others at once, and the key is marked.  So
     a variant that a third of all texts share reaches one reducer once a
     block, not once a text.  What goes on is packed by parts of the keys.
     """
 
+    def sliced(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if slices == 1:
+            return a, b, times
+        low, high = (f(a, b).astype(np.uint64) for f in (np.minimum, np.maximum))
+        keep = mix(mix(low) ^ high) % np.uint64(slices) == here_of
+        return a[keep], b[keep], times[keep]
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            keys, rows = _variants(batch.column(1), mix(batch.column(2).to_numpy().view(np.uint64)))
+            keys, rows = _variants(batch.column(1), mix(batch.column(2).to_numpy().view(np.uint64)), most)
             keys, members, first, size = _groups_of(keys, ids[rows])
             many = size > _NEAR + 1
-            a, b, times = _bucket_pairs(keys[many], members[many])
+            a, b, times = sliced(*_bucket_pairs(keys[many], members[many]))
             on = first | ~many
             keys, members, marked = keys[on], members[on], many[on]
             # crowded keys are told once a block; they come with the pairs
-            part = (keys >> np.uint64(16)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part, keys, members = part[order].astype(np.int32), keys[order], members[order]
-            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
-            out = [(int(part[x]), 0, int(y - x), _pack([keys[x:y], members[x:y]], (_KEY_BYTES, 8))) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            out = [(part, 0, y - x, _pack([_steps(keys[x:y]), members[x:y]], (_KEY_BYTES, 8))) for part, x, y in _ranges(keys, parts)]
             if len(a):
                 out.append((int(a[0] % parts), 1, len(a), _pack([a, b, times], (8, 8, 4))))
-            if marked.any():
-                crowded = np.unique(keys[marked[order]])
-                out.append((int(crowded[0] % np.uint64(parts)), 2, len(crowded), _pack([crowded], (_KEY_BYTES,))))
+            if marked.any() and here_of == 0:
+                crowded = np.unique(keys[marked])
+                out.append((int(crowded[0] % np.uint64(parts)), 2, len(crowded), _pack([_steps(crowded)], (_KEY_BYTES,))))
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "kind", "n", "data"])
 
@@ -180,27 +200,46 @@ def candidate_pairs(texts: DataFrame, parts: int) -> DataFrame:
             if held:
                 keys, members, first, size = _groups_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 more = size > 1
-                yield _pairs(*_bucket_pairs(keys[more], members[more].view(np.int64)))
-                yield _pairs(np.unique(keys[size > _NEAR + 1]).view(np.int64))
+                yield _pairs(*sliced(*_bucket_pairs(keys[more], members[more].view(np.int64))))
+                if here_of == 0:
+                    yield _pairs(np.unique(keys[size > _NEAR + 1]).view(np.int64))
 
         for batch in batches:
             for part, kind, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
                     yield _pairs(*(x.view(np.int64) for x in _unpack(data, n, (8, 8, 4))))
                 elif kind == 2:
-                    yield _pairs(_unpack(data, n, (_KEY_BYTES,))[0].view(np.int64))
+                    yield _pairs(np.cumsum(_unpack(data, n, (_KEY_BYTES,))[0]).view(np.int64))
                 else:
                     if part != here:
                         yield from done()
                         here, held = part, []
-                    held.append(_unpack(data, n, (_KEY_BYTES, 8)))
+                    steps, members = _unpack(data, n, (_KEY_BYTES, 8))
+                    held.append([np.cumsum(steps), members])
         yield from done()
 
     rows = texts.select("id", "fp", "within").mapInArrow(local, "part int, kind int, n int, data binary")
     met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, n long")
     lone = F.col("b").isNull()
-    pairs = met.select(F.when(lone, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(~lone, F.greatest("a", "b")).alias("b"), "n")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("b").isNull() | (F.col("n") >= _MEETINGS)).select("a", "b")
+    return met.select(F.when(lone, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(~lone, F.greatest("a", "b")).alias("b"), "n")
+
+
+def candidate_pairs(texts: DataFrame, rows: int, prints: int, parts: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids whose fingerprints share variants; a crowded bucket's key comes as (key, null).
+
+    Pairs that meet once by chance grow as the square of the rows.  How many
+    there are is seen from one fingerprint; then as many slices of them are
+    counted one after another as keep the disk in proportion to the rows.
+    """
+    seen = _meetings(texts, -(-parts // prints), most=1).where("b is not null").count()
+    slices = max(1, -(-seen * prints // max(10 * _LEAST_SLICE, _ROW_MEETINGS * rows)))
+    out = None
+    for k in range(slices):
+        counted = _meetings(texts, parts, slices, k).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        found = checkpointed(counted.where(F.col("b").isNull() | (F.col("n") >= _MEETINGS)).select("a", "b"))
+        out = found if out is None else out.union(found)
+        released(texts.sparkSession)
+    return out
 
 
 def _pairs(a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
@@ -209,21 +248,28 @@ def _pairs(a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = No
 
 
 def agreeing(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that agree in about as many symbols as the threshold lets expect."""
+    """The pairs (a, b) that agree in about as many symbols as the threshold lets expect.
+
+    Of each symbol four bits are compared, which agree by chance once in 16;
+    so a row takes a quarter of its fingerprints to every pair it is in.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.of(ids, "id"))
+    expected = threshold + (1 - threshold) / 16
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(wanted.value.may_hold(batch.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["id", "fp"])
+            batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(2).to_numpy(zero_copy_only=False))))
+            low = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1).astype(np.uint8) & 15 if batch.num_rows else np.zeros((0, 2), dtype=np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _fixed(low[:, ::2] | low[:, 1::2] << 4)], names=["id", "fp"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
-            n = left.shape[1]
-            least = threshold * n - _DEVIATIONS * np.sqrt(threshold * (1 - threshold) * n)
-            keep = pa.array((left == right).sum(axis=1) >= least)
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1), dtype=np.uint8),) * 2
+            n = 2 * left.shape[1]
+            least = expected * n - _DEVIATIONS * np.sqrt(expected * (1 - expected) * n)
+            other = left ^ right
+            keep = pa.array((other & 15 == 0).sum(axis=1) + (other >> 4 == 0).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     held = prints.select("id", "fp", F.xxhash64("id").alias("h")).mapInArrow(asked, "id long, fp binary")
@@ -231,31 +277,160 @@ def agreeing(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame
     return joined.select("a", "b", "left", "right").mapInArrow(agree, "a long, b long")
 
 
-def _mixed_members(texts: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """The ids (id) in crowded buckets (key) whose members belong to more than one group."""
+def _short_sets(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int) -> DataFrame:
+    """(id, n, short) of the texts of `ids` and perhaps a few others: how many shingles, and two bytes of each without repetition."""
+    wanted = texts.sparkSession.sparkContext.broadcast(Bloom.of(ids, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 2):
+            batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
+            flat, offsets, _ = distinct_shingles(string_values(batch.column(2)), width, least_tokens)
+            sizes = np.diff(offsets)
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            both = np.unique(owner << np.uint64(16) | flat >> np.uint64(48))
+            ends = np.concatenate([[0], np.cumsum(np.bincount((both >> np.uint64(16)).astype(np.int64), minlength=len(sizes)))]).astype(np.int32)
+            short = pa.ListArray.from_arrays(pa.array(ends), pa.array(both.astype(np.uint16).view(np.int16)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), short], names=["id", "n", "short"])
+            yield out.filter(pa.array(sizes > 0))
+
+    return texts.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, n int, short array<short>")
 
-    def inside(wanted: Bloom, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = _variants(batch.column(1), mix(batch.column(2).to_numpy().view(np.uint64)))
-            keep = wanted.may_hold(keys.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), batch.column(0).take(pa.array(rows[keep]))], names=["key", "id"])
 
+def _possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose short sets (id, n, short) don't rule out the threshold; none that reaches it is missing.
+
+    What two sets share is at most what their short sets share and what the
+    one that has lost fewer shingles to repetition has lost.
+    """
+    left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("short").alias(f"s_{x}")) for x in "ab")
+    size = lambda x: F.size(F.col(x))
+    shared = F.size(F.array_intersect("s_a", "s_b")) + F.least(F.col("n_a") - size("s_a"), F.col("n_b") - size("s_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", shared.alias("shared"))
+    return joined.where(F.col("shared") >= F.lit(threshold) * (F.col("n_a") + F.col("n_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
+
+
+def _in_slices(pairs: DataFrame, most: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`step` of the pairs (a, b), of about `most` at once; what it shuffles is removed before the next slice."""
+    slices = max(1, -(-pairs.count() // most))
+    out = None
+    for k in range(slices):
+        done = checkpointed(step(pairs if slices == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)))
+        out = done if out is None else out.union(done)
+        released(pairs.sparkSession)
+    return out
+
+
+def similar(pairs: DataFrame, texts: DataFrame, rows: int, width: int, least_tokens: int, threshold: float) -> DataFrame:
+    """Links (a, b) among the pairs whose exact similarity reaches the threshold, enough to connect whatever they connect.
+
+    `pairs` should be checkpointed.  Slices follow the number of `rows`, so
+    that the disk follows the rows and not the pairs.
+    """
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = checkpointed(_short_sets(texts, ids, width, least_tokens))
+    most = max(_LEAST_SLICE, rows)
+    possible = _in_slices(pairs, most, lambda some: _possible(some, sets, threshold))
+    del sets
+    released(texts.sparkSession)
+    exact = lambda some: verified(some, texts, width, least_tokens, threshold).select("a", "b")
+    if possible.count() <= most // 2:
+        return checkpointed(exact(possible))
+    # one link of each row first: pairs that those connect needn't be compared
+    first = checkpointed(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _in_slices(first, most // 2, exact)
+    roots = checkpointed(components(links))
+    for x in "ab":
+        possible = possible.join(roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    apart = possible.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return links.union(_in_slices(checkpointed(apart.join(first, ["a", "b"], "left_anti")), most // 2, exact))
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id isn't among `ids`; only those that a filter takes for one of them are shuffled, so the others keep their order."""
+    maybe = rows.sparkSession.sparkContext.broadcast(Bloom.of(ids, "id"))
+    names = rows.columns
+
+    def side(there: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = maybe.value.may_hold(batch.column(0).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(held == there)).select(names)
+
+        return rows.select(F.xxhash64("id").alias("h"), "*").mapInArrow(run, rows.schema)
+
+    return side(False).union(side(True).join(ids, "id", "left_anti"))
+
+
+def _mixed_members(texts: DataFrame, crowded: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """The ids (id) in crowded buckets (key) whose members belong to more than one group.
+
+    A task tells the groups of its buckets' members first and the members after
+    them, so that a bucket of very many is never held at once.
+    """
     context = texts.sparkSession.sparkContext
     wanted = context.broadcast(Bloom.of_hashes(crowded, "key"))
-    entries = texts.select("id", "fp", "within").mapInArrow(lambda batches: inside(wanted.value, batches), "key long, id long")
-    rooted = checkpointed(entries.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = context.broadcast(Bloom.of_hashes(mixed, "key"))
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(left.value.may_hold(batch.column(0).to_numpy())))
+    def asked(fp: pa.Array, within: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        keys, rows = _variants(fp, mix(within.to_numpy(zero_copy_only=False).view(np.uint64)))
+        keep = wanted.value.may_hold(keys.view(np.int64))
+        return keys[keep], rows[keep]
 
-    return rooted.select("key", "id").mapInArrow(held, "key long, id long").select("id").distinct()
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.unique(asked(batch.column(1), batch.column(2))[1])))
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = asked(batch.column(1), batch.column(2))
+            keys, rows, first, _ = _groups_of(keys, rows)
+            ids, roots = (batch.column(c).to_numpy().view(np.uint64)[rows] for c in (0, 3))
+            starts = np.flatnonzero(first)
+            counts = np.diff(np.append(starts, len(keys)))
+            low, high = (f.reduceat(roots, starts) if len(starts) else roots for f in (np.minimum, np.maximum))
+            block, keys, at = uuid.uuid4().bytes, keys[starts], np.append(starts, len(ids))
+            out = []
+            for part, x, y in _ranges(keys, parts):
+                columns = [_steps(keys[x:y]), counts[x:y].astype(np.uint64), low[x:y], high[x:y] - low[x:y]]
+                out.append((part, 0, block, y - x, _pack(columns, (_KEY_BYTES, 4, 8, 8))))
+                out.append((part, 1, block, int(at[y] - at[x]), _pack([ids[at[x] : at[y]]], (8,))))
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["part", "kind", "block", "n", "data"])
 
-def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, threshold: float) -> DataFrame:
-    """(id, n, shingles, places) of the texts whose prefix has a shingle that another text may hold.
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a part's keys come first; its members, which may be many of one key, pass by
+        blocks: dict[bytes, list[np.ndarray]] = {}
+        mixed: np.ndarray | None = None
+        here = None
+        for batch in batches:
+            for part, kind, block, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != here:
+                    here, blocks, mixed = part, {}, None
+                if kind == 0:
+                    steps, counts, low, wide = _unpack(data, n, (_KEY_BYTES, 4, 8, 8))
+                    blocks[block] = [np.cumsum(steps), counts.astype(np.int64), low, low + wide]
+                    continue
+                if mixed is None:
+                    keys, counts, low, high = (np.concatenate(x) for x in zip(*blocks.values(), strict=True))
+                    order = np.argsort(keys, kind="stable")
+                    keys = keys[order]
+                    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    several = np.minimum.reduceat(low[order], starts) < np.maximum.reduceat(high[order], starts)
+                    mixed = keys[starts][several & (np.add.reduceat(counts[order], starts) > _NEAR + 1)]
+                keys, counts = blocks[block][:2]
+                ids = _unpack(data, n, (8,))[0][np.repeat(np.isin(keys, mixed), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids).view(np.int64))], names=["id"])
+
+    few = texts.select("id", "fp", "within").mapInArrow(inside, "id long, fp binary, within long")
+    rooted = few.join(roots, "id", "left").select("id", "fp", "within", F.coalesce("root", "id").alias("root"))
+    rows = rooted.mapInArrow(local, "part int, kind int, block binary, n int, data binary")
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(meet, "id long").distinct()
+
+
+def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, threshold: float) -> Callable[[DataFrame, int, int], DataFrame]:
+    """Makes (id, n, shingles, places) of the texts whose prefix has a shingle that another text may hold, of ids and of a slice of the shingles.
 
     Shingles are ordered by how many texts hold them, rarest first; two texts
     that reach the threshold share one of their first n - ceil(threshold * n) + 1.
@@ -263,6 +438,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
     """
     context = texts.sparkSession.sparkContext
     wanted = context.broadcast(Bloom.of(ids, "id"))
+    rows = texts.select("id", F.xxhash64("id").alias("h"), "text", "within")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +447,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
     some = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(asked, "text string")
     counts = context.broadcast(shingle_ranks(some, width, least_tokens))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(slices: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 2):
             batch = batch.filter(pa.array(wanted.value.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
             flat, offsets, _ = distinct_shingles(string_values(batch.column(2)), width, least_tokens)
@@ -283,7 +459,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
             flat, rank = flat[order], rank[order]
             place = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            keep = np.flatnonzero((rank > 1) & (place < prefix[owner]))
+            keep = np.flatnonzero((rank > 1) & (place < prefix[owner]) & ((flat >> np.uint64(32)) % np.uint64(slices) == k))
             held = np.bincount(owner[keep], minlength=len(sizes))
             ends = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
             shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array((flat[keep] ^ within[owner[keep]]).view(np.int64)))
@@ -291,18 +467,31 @@ def _prefixes(texts: DataFrame, ids: DataFrame, width: int, least_tokens: int, t
             columns = [batch.column(0), pa.array(sizes.astype(np.int32)), shingles, places]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "shingles", "places"]).filter(pa.array(held > 0))
 
-    rows = texts.select("id", F.xxhash64("id").alias("h"), "text", "within")
-    return rows.mapInArrow(run, "id long, n int, shingles array<long>, places array<int>")
+    def of(some: DataFrame, slices: int, k: int) -> DataFrame:
+        return some.mapInArrow(lambda batches: run(slices, k, batches), "id long, n int, shingles array<long>, places array<int>")
+
+    return lambda share, slices, k: of(rows.where(F.pmod("h", F.lit(share)) == 0), slices, k)
 
 
-def unproven_pairs(texts: DataFrame, ids: DataFrame, roots: DataFrame, width: int, least_tokens: int, threshold: float) -> DataFrame:
+def unproven_pairs(texts: DataFrame, ids: DataFrame, roots: DataFrame, width: int, least_tokens: int, threshold: float, most: int = 10 * _LEAST_SLICE) -> DataFrame:
     """Pairs (a, b) of `ids` in different groups that may reach the threshold; none that does is missing.
 
     `roots` (id, root) are the groups so far; an id without one is its own.
+    Shingles are joined in slices of about `most`, as counted in a part of the rows.
     """
-    rows = _prefixes(texts, ids, width, least_tokens, threshold).join(ids, "id", "left_semi").join(roots, "id", "left")
-    entries = rows.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
-    return prefix_join(entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at")), threshold)
+    prefixes = _prefixes(texts, ids, width, least_tokens, threshold)
+    seen = prefixes(_SHARE, 1, 0).agg(F.sum(F.size("shingles"))).first()[0] or 0
+    slices = max(1, -(-seen * _SHARE // most))
+    out = None
+    for k in range(slices):
+        rows = prefixes(1, slices, k).join(ids, "id", "left_semi").join(roots, "id", "left")
+        entries = rows.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("long").alias("n"), F.explode(F.arrays_zip("shingles", "places")).alias("e"))
+        found = prefix_join(entries.select(F.col("e.shingles").alias("key"), "root", "id", "n", F.col("e.places").cast("long").alias("at")), threshold)
+        if slices > 1:
+            found = checkpointed(found)
+            released(texts.sparkSession)
+        out = found if out is None else out.union(found)
+    return out if slices == 1 else out.distinct()
 
 
 def near_duplicates(
@@ -340,19 +529,25 @@ def near_duplicates(
     # copies hang under the least of them, which alone takes part
     repeated = checkpointed(groups.where("copies > 1").select("sig", "sig2", F.col("id").alias("least")))
     copies = checkpointed(prints_of.select("id", "sig", "sig2").join(repeated, ["sig", "sig2"]).select("id", "least"))
-    distinct = prints_of.join(copies.where("id > least"), "id", "left_anti")
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints_of.count() * prints * _SYMBOLS // _PART_ENTRIES))
-    found = checkpointed(candidate_pairs(distinct, parts))
-    likely = checkpointed(agreeing(found.where("b is not null"), distinct, threshold))
-    links = checkpointed(verified(likely, texts, width, least_tokens, threshold).select("a", "b"))
-    roots = components(links)
+    distinct = _without(prints_of.select("id", "fp", "within"), copies.where("id > least").select("id"))
+    spark = texts.sparkSession
+    released(spark)
+    rows = prints_of.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * prints * _SYMBOLS // _PART_ENTRIES))
+    found = candidate_pairs(distinct, rows, prints, parts)
+    likely = _in_slices(found.where("b is not null"), max(_LEAST_SLICE, 2 * rows), lambda some: agreeing(some, distinct, threshold))
+    roots = components(similar(likely, texts, rows, width, least_tokens, threshold))
+    del likely
     crowded = found.where("b is null").select(F.col("a").alias("key"))
     if not crowded.isEmpty():
         roots = checkpointed(roots)
-        ids = checkpointed(_mixed_members(distinct, crowded, roots))
+        ids = checkpointed(_mixed_members(distinct, crowded, roots, parts))
+        del found, crowded, distinct, prints_of, groups
+        released(spark)
         if not ids.isEmpty():
-            rest = checkpointed(unproven_pairs(texts, ids, roots, width, least_tokens, threshold))
-            more = verified(rest, texts, width, least_tokens, threshold).select("a", "b")
+            rest = checkpointed(unproven_pairs(texts, ids, roots, width, least_tokens, threshold, max(10 * _LEAST_SLICE, _ROW_MEETINGS * rows)))
+            released(spark)
+            more = similar(rest, texts, rows, width, least_tokens, threshold)
             # a group so far is one link from each member to its root
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
     of_copies = copies.join(roots.withColumnRenamed("id", "least"), "least", "left").select("id", F.coalesce("root", "least").alias("group"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow.llm import near_duplicates as near_duplicates_module
 from quireflow.llm import pairs, tokens
 from quireflow.llm.cross_split import overlaps
 from quireflow.llm.near_duplicates import near_duplicates
@@ -107,3 +108,52 @@ def test_overlaps_agree_with_all_pairs(spark):
 def test_no_overlaps(spark):
     df = frame(spark, []).withColumn("side", F.lit(True))
     assert [x.count() for x in overlaps(df, "key", "body", F.col("side"))] == [0, 0]
+
+
+def half_alike(seed, families, members=12, words=300):
+    """Texts of families whose members have two fifths of their shingles in common, and a near copy of every seventh."""
+    rng = random.Random(seed)
+    values = []
+    for _ in range(families):
+        shared = X.prose(rng, words * 23 // 20)
+        values += [f"{shared} {X.prose(rng, words * 17 // 20)}" for _ in range(members)]
+    return values + [X.edited(rng, v, 3) for v in values[::7]]
+
+
+def test_disk_follows_the_rows_and_not_the_pairs_that_fail(spark):
+    values = half_alike(14, 60)
+    df = frame(spark, values).repartition(3).select("key", "body").cache()
+    df.count()
+
+    def written():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    # as on a table of many partitions, where nothing is sent whole and a text's pairs lie apart
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    before = written()
+    found = {r.id: r.group for r in near_duplicates(df, "key", "body", 3, 0.5).collect()}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    assert found == {i: i for i in range(0, 720, 7)} | {720 + k: 7 * k for k in range(103)}
+    assert written() - before < 10 * sum(map(len, values))
+
+
+def test_slices_lose_nothing(spark, monkeypatch):
+    rng = random.Random(16)
+    shared = X.prose(rng, 62)
+    own = [X.prose(rng, 10) for _ in range(60)]
+    values = X.family(6, 8) + half_alike(15, 5, words=60) + [f"{shared} {mine} {X.prose(rng, 28)}" for _ in range(2) for mine in own]
+    steps = []
+    monkeypatch.setattr(near_duplicates_module, "released", lambda session: steps.append(1))
+    rows = frame(spark, values).repartition(3)
+    want = X.groups(values, 0.5)
+    assert {r.id: r.group for r in near_duplicates(rows, "key", "body", 3, 0.5).collect()} == want
+    whole = len(steps)
+    monkeypatch.setattr(near_duplicates_module, "_LEAST_SLICE", 60)
+    monkeypatch.setattr(near_duplicates_module, "_ROW_MEETINGS", 8)
+    assert {r.id: r.group for r in near_duplicates(rows, "key", "body", 3, 0.5).collect()} == want
+    assert len(steps) > 2 * whole + 20
